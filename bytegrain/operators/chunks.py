@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytegrain.functions.rows import explode_computed
 from bytegrain.functions.text import pretokenize, pretokenize_joined
 from bytegrain.functions.tokens import byte_tokens, token_ids
 
@@ -13,9 +14,7 @@ def chunk_table(
     docs: DataFrame, pattern: str = "cl100k", key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per chunk occurrence: (key, pos, chunk)."""
-    return docs.select(
-        key, F.posexplode(pretokenize(F.col(text), pattern)).alias("pos", "chunk")
-    )
+    return explode_computed(docs, [key], pretokenize(F.col(text), pattern), "chunk", "pos")
 
 
 def chunk_byte_ids(chunks: DataFrame) -> DataFrame:
@@ -48,9 +47,9 @@ def word_freq_joined(
 
 def _count(docs: DataFrame, chunks, order: str | None) -> DataFrame:
     if order is None:
-        exploded = docs.select(F.explode(chunks).alias("chunk"))
+        exploded = explode_computed(docs, [], chunks, "chunk")
         return exploded.groupBy("chunk").agg(F.count("*").alias("freq"))
-    exploded = docs.select(F.col(order), F.posexplode(chunks).alias("pos", "chunk"))
+    exploded = explode_computed(docs, [order], chunks, "chunk", "pos")
     return exploded.groupBy("chunk").agg(
         F.count("*").alias("freq"), F.min(F.struct(order, "pos")).alias("first")
     )

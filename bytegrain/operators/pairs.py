@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytegrain.functions.rows import explode_computed
 from bytegrain.functions.tokens import (
     adjacent_pairs,
     apply_merges,
@@ -31,9 +32,9 @@ def count_pairs(state: DataFrame) -> DataFrame:
     """
     pairs = adjacent_pairs(F.col("tokens"))
     if "first" not in state.columns:
-        exploded = state.select("freq", F.explode(pairs).alias("pair"))
+        exploded = explode_computed(state, ["freq"], pairs, "pair")
         return exploded.groupBy("pair").agg(F.sum("freq").alias("n"))
-    exploded = state.select("freq", "first", F.posexplode(pairs).alias("at", "pair"))
+    exploded = explode_computed(state, ["freq", "first"], pairs, "pair", "at")
     return exploded.groupBy("pair").agg(
         F.sum("freq").alias("n"), F.min(F.struct("first", "at")).alias("first")
     )
@@ -67,9 +68,9 @@ def pair_chains(state: DataFrame, pairs: list[str]) -> DataFrame:
     """(chain, n): the maximal stretches of every chunk whose boundaries are all listed pairs."""
     pieces = cut_outside(F.col("tokens"), pairs)
     if "first" not in state.columns:
-        cut = state.select("freq", F.explode(pieces).alias("chain"))
+        cut = explode_computed(state, ["freq"], pieces, "chain")
         return cut.where(F.length("chain") > 1).groupBy("chain").agg(F.sum("freq").alias("n"))
-    cut = state.select("freq", "first", F.posexplode(pieces).alias("at", "chain"))
+    cut = explode_computed(state, ["freq", "first"], pieces, "chain", "at")
     return cut.where(F.length("chain") > 1).groupBy("chain").agg(
         F.sum("freq").alias("n"), F.min(F.struct("first", "at")).alias("first")
     )

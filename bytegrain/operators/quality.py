@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytegrain.functions.rows import explode_computed
 from bytegrain.model import BpeModel
 
 
@@ -24,7 +25,7 @@ def compression(encoded: DataFrame, *by: str, text: str = "text", ids: str = "id
 def token_freq(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """(token_id, n). Partial sums leave one row per id and task to shuffle."""
     return (
-        encoded.select(F.explode(ids).alias("token_id"))
+        explode_computed(encoded, [], F.col(ids), "token_id")
         .groupBy("token_id")
         .agg(F.count("*").alias("n"))
     )

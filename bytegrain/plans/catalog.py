@@ -112,7 +112,7 @@ def q_strip(spark, sf_dir):
 
 @register("q_len_filter", f"WITH {_KEPT} SELECT doc_id, length(text) AS chars FROM kept")
 def q_len_filter(spark, sf_dir):
-    return prepared(spark, sf_dir).select("doc_id", F.length("text").alias("chars"))
+    return prepared(spark, sf_dir).select("doc_id", F.length("text").cast("bigint").alias("chars"))
 
 
 @register(
@@ -706,6 +706,11 @@ def q_split_by_offset(spark, sf_dir):
 # Streaming
 
 
+def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id bigint, text string"
+    return ingest.read_stream(spark, sf_dir, schema, "documents.parquet", key="doc_id")
+
+
 @register(
     "q_stream_ingest",
     f"""WITH {_KEPT} SELECT doc_id, md5(text) AS digest FROM kept
@@ -715,9 +720,7 @@ def q_stream_ingest(spark, sf_dir):
     """Stream over the corpus folder; the second run finds nothing new and adds nothing."""
     target, log = fresh_path(spark, "ingested"), fresh_path(spark, "ingest-log")
     for _ in range(2):
-        docs = ingest.read_stream(
-            spark, sf_dir, "doc_id bigint, text string", pattern="documents.parquet"
-        )
+        docs = _document_stream(spark, sf_dir)
         ingest.ingest(docs, target, log, SAMPLE)
     return spark.read.parquet(target).select(
         "doc_id", digest("text").alias("digest")
@@ -727,8 +730,6 @@ def q_stream_ingest(spark, sf_dir):
 @register("q_stream_encode", sql.with_recursive(*_ENCODED) + " SELECT doc_id, ids FROM encoded")
 def q_stream_encode(spark, sf_dir):
     target, log = fresh_path(spark, "encoded"), fresh_path(spark, "encode-log")
-    docs = ingest.read_stream(
-        spark, sf_dir, "doc_id bigint, text string", pattern="documents.parquet"
-    )
+    docs = _document_stream(spark, sf_dir)
     ingest.ingest_encoded(docs, trained(spark, sf_dir), target, log)
     return spark.read.parquet(target).select("doc_id", joined(F.col("ids")).alias("ids"))

@@ -11,16 +11,20 @@ from bytegrain.operators.shards import shard_text
 def read_corpus(spark: SparkSession, path: str, *columns: str, key: str | None = None) -> DataFrame:
     """A parquet corpus, pruned to `columns`.
 
-    With `key`, an input of fewer files than the cluster has slots is spread by it, since
-    a file's row group cannot be split between tasks. A large corpus is left as scanned.
+    With `key`, an input that scans in no more tasks than the cluster has slots is spread
+    by it, since one file's row group cannot be shared between tasks. That shuffles at most
+    one scan split per slot; a larger corpus is left as scanned.
     """
     docs = spark.read.parquet(path)
     if columns:
         docs = docs.select(*columns)
-    slots = spark.sparkContext.defaultParallelism
-    if key is not None and len(docs.inputFiles()) < slots:
-        docs = docs.repartition(slots, key)
-    return docs
+    return spread_small(docs, docs, key) if key is not None else docs
+
+
+def spread_small(docs: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """`docs` spread over all slots if `scan`, its batch scan, has no more tasks than slots."""
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(slots, key) if scan.rdd.getNumPartitions() <= slots else docs
 
 
 def write_shards(sharded: DataFrame, path: str, mode: str = "append") -> None:
@@ -45,7 +49,7 @@ def write_shard_text(sharded: DataFrame, path: str, mode: str = "append") -> Non
 
 def read_shard_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per shard file: (shard_id, text). The writer's final newline is not text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     shard = F.regexp_extract(F.input_file_name(), r"shard_id=(\d+)", 1).cast("int")
     return files.select(
         shard.alias("shard_id"), F.regexp_replace("value", r"\n\z", "").alias("text")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from bytegrain.model import BpeModel
 from bytegrain.operators.corpus import MIN_CHARS, SEED, prepare_corpus
 from bytegrain.operators.encoding import encode
+from bytegrain.sources.tables import spread_small
 
 
 def read_stream(
@@ -21,14 +22,20 @@ def read_stream(
     schema: StructType | str,
     pattern: str | None = None,
     max_files: int | None = None,
+    key: str | None = None,
 ) -> DataFrame:
-    """A folder of parquet files as a stream; `pattern` selects files by name."""
+    """A folder of parquet files as a stream; `pattern` selects files by name. With `key`,
+    a small input is spread by it, as in `read_corpus`."""
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    docs = reader.parquet(path)
+    if key is None:
+        return docs
+    batch = spark.read.schema(schema).option("pathGlobFilter", pattern or "*").parquet(path)
+    return spread_small(docs, batch, key)
 
 
 def ingest(
