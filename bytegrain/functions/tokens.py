@@ -65,5 +65,29 @@ def cut_outside(tokens: Column, pairs: list[str]) -> Column:
     return F.split(marked, cut)
 
 
+def rewrite_pieces(pieces: Column, forms: dict[str, str]) -> Column:
+    """Join pieces to a token string again, with the listed ones (two tokens or more)
+    replaced. The list is a constant array of buckets, so its length does not slow the lookup."""
+    slots = len(forms)
+    buckets: list[list[list[str]]] = [[] for _ in range(slots)]
+    for piece, form in forms.items():
+        key = 31 * ord(piece[0]) + 17 * ord(piece[1]) + 7 * ord(piece[-1]) + len(piece)
+        buckets[key % slots].append([piece, form])
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<array<string>>>")
+
+    def rewrite(piece: Column) -> Column:
+        key = (
+            31 * F.ascii(piece)
+            + 17 * F.ascii(F.substring(piece, 2, 1))
+            + 7 * F.ascii(F.substring(piece, -1, 1))
+            + F.length(piece)
+        )
+        hit = F.filter(F.get(table, key % slots), lambda e: F.get(e, F.lit(0)) == piece)
+        form = F.coalesce(F.get(F.get(hit, F.lit(0)), F.lit(1)), piece)
+        return F.when(F.length(piece) < 2, piece).otherwise(form)
+
+    return F.array_join(F.transform(pieces, rewrite), "")
+
+
 def _escape(token: str) -> str:
     return f"\\x{{{ord(token):X}}}"

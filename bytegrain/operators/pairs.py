@@ -14,6 +14,7 @@ from bytegrain.functions.tokens import (
     merge_literal,
     pair_left,
     pair_right,
+    rewrite_pieces,
 )
 
 
@@ -74,3 +75,9 @@ def pair_chains(state: DataFrame, pairs: list[str]) -> DataFrame:
     return cut.where(F.length("chain") > 1).groupBy("chain").agg(
         F.sum("freq").alias("n"), F.min(F.struct("first", "at")).alias("first")
     )
+
+
+def rewrite_chains(state: DataFrame, pairs: list[str], forms: dict[str, str]) -> DataFrame:
+    """Replace chains of `pair_chains` by their merged forms."""
+    pieces = cut_outside(F.col("tokens"), pairs)
+    return state.withColumn("tokens", rewrite_pieces(pieces, forms))

@@ -8,7 +8,7 @@ One round, over the token table of distinct chunks:
    if there are more, the hot set is halved, down to a single pair, which needs none.
 3. The driver picks merges one by one on the chains while the best pair comes no
    later in merge order than the last hot pair.
-4. Spark applies the picked merges to the token table and writes it down.
+4. Spark replaces each chain by its merged form in the token table and writes it down.
 
 Why step 3 picks what one-at-a-time merging would: a pair's count only falls and its
 first boundary only moves back as merges are applied. Any later pair (p, q) meets at a
@@ -28,13 +28,14 @@ from bytegrain.operators.pairs import (
     count_pairs,
     merge_tokens,
     pair_chains,
+    rewrite_chains,
     token_table,
     top_pairs,
 )
 from bytegrain.session import Stage
 
 MAX_CHAINS = 8192
-MAX_HOT = 256
+MAX_HOT = 1024
 
 
 def train(
@@ -65,20 +66,24 @@ def train(
         complete = len(hot) < hot_size
         chains = _collect_chains(state, hot, max_chains)
         if chains is not None and len(chains) < max_chains // 4:
-            hot_size = min(hot_size * 2, MAX_HOT)
+            growth = 2 if len(chains) > max_chains // 16 else 4
+            hot_size = min(hot_size * growth, MAX_HOT)
         while chains is None and len(hot) > 1:
             hot_size = len(hot) // 2
             hot, complete = hot[:hot_size], False
             chains = _collect_chains(state, hot, max_chains)
         next_id = model.vocab_size
-        budget = wanted - len(model.merges)
-        picked = _pick(hot, chains, complete, next_id, budget)
+        if chains is None:
+            picked = [(hot[0].pair, hot[0].n)]
+            merged = merge_tokens(state, [(hot[0].pair, chr(next_id))])
+        else:
+            picked, forms = _pick(hot, chains, complete, next_id, wanted - len(model.merges))
+            merged = rewrite_chains(state, [r.pair for r in hot], forms)
         model.merges += [(ord(pair[0]), ord(pair[1]), n) for pair, n in picked]
         model.rounds += 1
         if len(model.merges) == wanted:
             break
-        steps = [(pair, chr(next_id + i)) for i, (pair, _) in enumerate(picked)]
-        merged = Stage(merge_tokens(state, steps).where(F.length("tokens") > 1), "tokens")
+        merged = Stage(merged.where(F.length("tokens") > 1), "tokens")
         if stage is not None:
             stage.drop()
         state, stage = merged.df, merged
@@ -95,11 +100,9 @@ def _collect_chains(state: DataFrame, hot: list[Row], max_chains: int) -> list[R
 
 
 def _pick(
-    hot: list[Row], chains: list[Row] | None, complete: bool, next_id: int, budget: int
-) -> list[tuple[str, int]]:
-    """Merges of one round as (pair, count), in order."""
-    if chains is None:
-        return [(hot[0].pair, hot[0].n)]
+    hot: list[Row], chains: list[Row], complete: bool, next_id: int, budget: int
+) -> tuple[list[tuple[str, int]], dict[str, str]]:
+    """Merges of one round as (pair, count), in order, and the changed chains' new forms."""
     by_first = "first" in hot[0]
     text = [r.chain for r in chains]
     freq = [r.n for r in chains]
@@ -110,7 +113,9 @@ def _pick(
     def tally(i: int, sign: int) -> None:
         for pair in map("".join, zip(text[i], text[i][1:])):
             counts[pair] = counts.get(pair, 0) + sign * freq[i]
-            if sign > 0:
+            if not counts[pair]:
+                del counts[pair]
+            elif sign > 0:
                 holders.setdefault(pair, set()).add(i)
 
     def boundary(pair: str):
@@ -141,5 +146,5 @@ def _pick(
             tally(i, -1)
             text[i] = text[i].replace(pair, new)
             tally(i, 1)
-        counts = {p: n for p, n in counts.items() if n > 0}
-    return picked
+    forms = {r.chain: form for r, form in zip(chains, text) if form != r.chain}
+    return picked, forms
