@@ -13,7 +13,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_VOCAB = 0xD800
+MAX_VOCAB = 0xD7FF
+BORDER = chr(MAX_VOCAB)  # marks cuts; no token has this id
 
 MERGE_LIST = "array<struct<pair:string,new:string>>"
 
@@ -60,9 +61,8 @@ def cut_outside(tokens: Column, pairs: list[str]) -> Column:
     inside = "|".join(
         f"(?<={_escape(left)})[{''.join(map(_escape, right))}]" for left, right in rights.items()
     )
-    cut = chr(MAX_VOCAB - 1)
-    marked = F.regexp_replace(tokens, F.lit(f"(?s)(?<=.)(?=.)(?!{inside})"), F.lit(cut))
-    return F.split(marked, cut)
+    marked = F.regexp_replace(tokens, F.lit(f"(?s)(?<=.)(?=.)(?!{inside})"), F.lit(BORDER))
+    return F.split(marked, BORDER)
 
 
 def rewrite_pieces(pieces: Column, forms: dict[str, str]) -> Column:

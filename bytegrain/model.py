@@ -59,9 +59,9 @@ DEFAULT_VOCAB_SIZE = {"spec": 50304, "compact": 32768}
 
 def check_vocab_size(layout: Layout, vocab_size: int) -> int:
     """Number of merges that fills `vocab_size`."""
-    if not layout.merges_start < vocab_size < MAX_VOCAB:
+    if not layout.merges_start < vocab_size <= MAX_VOCAB:
         raise ValueError(
-            f"vocab_size must be above {layout.merges_start} and below {MAX_VOCAB}, "
+            f"vocab_size must be above {layout.merges_start} and at most {MAX_VOCAB}, "
             f"not {vocab_size}"
         )
     return vocab_size - layout.merges_start

@@ -1,5 +1,8 @@
 """Encoding whole corpora as one narrow pass: no shuffle, no Python worker.
 
+A short merge list is replayed on each text as a whole, its chunks kept apart by a
+character that is no token. For longer lists the work goes by chunk:
+
 Constant lookup tables ride along with the plan as scalar subqueries: frequent chunks
 with their tokens and, for large vocabularies, the merges by the bytes they produce. They
 are arrays of buckets addressed by hash, so a lookup costs the same whatever their size,
@@ -14,7 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.functions.text import pretokenize
-from bytegrain.functions.tokens import apply_merges, byte_tokens, merge_literal, token_ids
+from bytegrain.functions.tokens import (
+    BORDER,
+    apply_merges,
+    byte_tokens,
+    merge_literal,
+    token_ids,
+)
 from bytegrain.model import BpeModel
 from bytegrain.operators.chunks import word_freq
 from bytegrain.session import Stage
@@ -22,6 +31,7 @@ from bytegrain.session import Stage
 DICTIONARY_ROWS = 1 << 17
 DICTIONARY_CHUNK = 64
 DICTIONARY_SHARE = 1e-6
+WHOLE_TEXT_MERGES = 256  # up to here, replaying all merges on the text beats chunk lookups
 REPLAY_MERGES = 1024  # up to here, replaying every merge beats looking up slices
 SHORT_CHUNK = 256  # longer chunks replay all merges instead of looking up every slice
 
@@ -34,21 +44,27 @@ def encode(
     out: str = "ids",
 ) -> DataFrame:
     """Add the id array of each text. Special-token names in the text are plain text."""
-    known = _dictionary(docs.sparkSession, model)
-    tables = _with_merges(docs, model).withColumn("_known", known.scalar())
-
-    def chunk_tokens(chunk: Column) -> Column:
-        hit = F.filter(_bucket("_known", DICTIONARY_ROWS, chunk), lambda e: e["chunk"] == chunk)
-        return F.coalesce(F.get(hit, F.lit(0))["tokens"], _segment(chunk, model))
-
-    tokens = F.transform(pretokenize(F.col(text), model.pattern), chunk_tokens)
-    ids = token_ids(F.array_join(tokens, ""))
+    chunks = pretokenize(F.col(text), model.pattern)
+    if len(model.merges) <= WHOLE_TEXT_MERGES:
+        tables = docs
+        tokens = F.array_join(F.transform(chunks, byte_tokens), BORDER)
+        tokens = F.replace(apply_merges(tokens, _merge_literal(model)), F.lit(BORDER), F.lit(""))
+    else:
+        known = _dictionary(docs.sparkSession, model)
+        tables = _with_merges(docs, model).withColumn("_known", known.scalar())
+        tokens = F.array_join(F.transform(chunks, lambda c: _chunk_tokens(c, model)), "")
+    ids = token_ids(tokens)
     if add_special:
         bos, eos = (F.array(F.lit(model.layout.special_id(s))) for s in ("<BOS>", "<EOS>"))
         ids = F.concat(bos, ids, eos)
     return tables.withColumn(out, ids).drop("_known", "_merges", "_replay")
 
 
+def _chunk_tokens(chunk: Column, model: BpeModel) -> Column:
+    hit = F.filter(_bucket("_known", DICTIONARY_ROWS, chunk), lambda e: e["chunk"] == chunk)
+    return F.coalesce(F.get(hit, F.lit(0))["tokens"], _segment(chunk, model))
+
+
 def segment_chunks(words: DataFrame, model: BpeModel) -> DataFrame:
     """Add `tokens`, the token string of each row's `chunk`."""
     tables = _with_merges(words, model)
@@ -60,7 +76,9 @@ def use_dictionary_of(
 ) -> BpeModel:
     """Give a model without training table (one loaded from an artifact) a dictionary of
     the chunks frequent in `docs`. It only saves time: results do not depend on it, so
-    a sample of the documents will do."""
+    a sample of the documents will do. Short merge lists need no dictionary."""
+    if len(model.merges) <= WHOLE_TEXT_MERGES:
+        return model
     sampled = docs if fraction is None else docs.sample(fraction=fraction, seed=42)
     words = Stage(word_freq(sampled, model.pattern, text), "words").df
     return BpeModel(model.layout, model.pattern, model.merges, words, model.rounds)
@@ -73,8 +91,7 @@ def _segment(chunk: Column, model: BpeModel) -> Column:
     found among the chunk's slices equals replaying all of them.
     """
     if len(model.merges) <= REPLAY_MERGES:
-        steps = [(pair, new) for _, pair, new, _ in _merge_rows(model)]
-        return apply_merges(byte_tokens(chunk), merge_literal(steps))
+        return apply_merges(byte_tokens(chunk), _merge_literal(model))
     longest = max(len(content) for _, content, kind, _ in model.vocab_rows if kind == "merge")
 
     def segment(tokens: Column) -> Column:
@@ -127,6 +144,10 @@ def _merge_rows(model: BpeModel) -> list[tuple[int, str, str, str]]:
     ]
 
 
+def _merge_literal(model: BpeModel) -> Column:
+    return merge_literal([(pair, new) for _, pair, new, _ in _merge_rows(model)])
+
+
 def _with_merges(df: DataFrame, model: BpeModel) -> DataFrame:
     """Add the merge tables as constant columns, each used once so that the optimizer
     moves the subquery into its place of use."""

@@ -24,7 +24,13 @@ def model(spark):
     return train(word_freq(docs_of(spark, [text, *ADVERSARIAL])), SPEC.merges_start + 60)
 
 
-def test_roundtrip_of_adversarial_text(spark, model):
+@pytest.fixture(params=[256, 0], ids=["whole text", "by chunk"])
+def way(request, monkeypatch):
+    """Both ways to encode."""
+    monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", request.param)
+
+
+def test_roundtrip_of_adversarial_text(spark, model, way):
     docs = docs_of(spark, ADVERSARIAL + ["hello world"])
     decoded = decode(encode(docs, model), model)
     assert roundtrip(decoded).first() == (len(ADVERSARIAL) + 1, 0)
@@ -37,7 +43,7 @@ def test_encoding_compresses(spark, model):
     assert len(row.ids) < len(text)
 
 
-def test_empty_null_and_special(spark, model):
+def test_empty_null_and_special(spark, model, way):
     docs = docs_of(spark, ["", None, "hello"])
     plain = {r.doc_id: r.ids for r in encode(docs, model).collect()}
     assert plain[0] == [] and plain[1] is None
@@ -54,6 +60,7 @@ def test_segmentation_equals_lowest_rank_first(spark, monkeypatch, replay, short
     """Replay, slice lookup and long-chunk replay give the same, and so does the brute force."""
     monkeypatch.setattr(encoding, "REPLAY_MERGES", replay)
     monkeypatch.setattr(encoding, "SHORT_CHUNK", short)
+    monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
     rng = random.Random(7)
     corpus = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(60)]
     merges = brute.train([c.encode() for c in corpus], 40, 260)
@@ -66,14 +73,18 @@ def test_segmentation_equals_lowest_rank_first(spark, monkeypatch, replay, short
     assert roundtrip(decode(encode(texts, model), model)).first().mismatches == 0
 
 
-def test_dictionary_does_not_change_results(spark, model):
-    bare = BpeModel(model.layout, model.pattern, model.merges)
+def test_all_ways_agree(spark, model, monkeypatch):
     docs = docs_of(spark, ADVERSARIAL)
-    assert encode(docs, bare).collect() == encode(docs, model).collect()
+    whole = encode(docs, model).collect()
+    monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
+    assert encode(docs, model).collect() == whole
+    bare = BpeModel(model.layout, model.pattern, model.merges)
+    assert encode(docs, bare).collect() == whole
 
 
-def test_lookup_tables_are_inlined(spark, model):
+def test_lookup_tables_are_inlined(spark, model, monkeypatch):
     """The dictionary must not become a column that every row carries."""
+    monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
     encoded = encode(docs_of(spark, ["hello"]), model)
     plan = encoded._jdf.queryExecution().optimizedPlan().toString()
     assert "AS _known" not in plan
