@@ -31,8 +31,8 @@ from bytegrain.session import Stage
 DICTIONARY_ROWS = 1 << 17
 DICTIONARY_CHUNK = 64
 DICTIONARY_SHARE = 1e-6
-WHOLE_TEXT_MERGES = 256  # up to here, replaying all merges on the text beats chunk lookups
-REPLAY_MERGES = 1024  # up to here, replaying every merge beats looking up slices
+WHOLE_TEXT_MERGES = 48  # up to here, replaying all merges on the text beats chunk lookups
+REPLAY_MERGES = 256  # up to here, replaying every merge on a chunk beats looking up slices
 SHORT_CHUNK = 256  # longer chunks replay all merges instead of looking up every slice
 
 

@@ -24,7 +24,7 @@ def model(spark):
     return train(word_freq(docs_of(spark, [text, *ADVERSARIAL])), SPEC.merges_start + 60)
 
 
-@pytest.fixture(params=[256, 0], ids=["whole text", "by chunk"])
+@pytest.fixture(params=[1024, 0], ids=["whole text", "by chunk"])
 def way(request, monkeypatch):
     """Both ways to encode."""
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", request.param)
@@ -75,6 +75,7 @@ def test_segmentation_equals_lowest_rank_first(spark, monkeypatch, replay, short
 
 def test_all_ways_agree(spark, model, monkeypatch):
     docs = docs_of(spark, ADVERSARIAL)
+    monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 1024)
     whole = encode(docs, model).collect()
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
     assert encode(docs, model).collect() == whole
