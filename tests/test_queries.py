@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from bytegrain.plans import catalog
 from check_queries import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,13 +16,17 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, con, name):
-    assert compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare(spark, con, SF_DIR, catalog.QUERIES[name], catalog.ORACLES[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+
+
+def test_entry_registers_the_catalog():
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
