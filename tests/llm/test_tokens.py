@@ -5,7 +5,9 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from bytegrain.llm import bpe
 from bytegrain.llm import tokenizer as tk
+from bytegrain.llm.arrow import pack, unpack
 from bytegrain.llm.token_counts import token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,3 +79,27 @@ def test_other_json_vocabularies_encode_whole_texts(docs):
 
 def test_empty_table(docs):
     assert token_counts(docs.where("false"), JSON).collect() == []
+
+
+def coded(rows):
+    return sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("block_words", [bpe.BLOCK_WORDS, 1])
+def test_encode_decode(docs, library, block_words):
+    got = coded(bpe.encode_decode(docs, JSON, buckets=5, block_words=block_words).collect())
+    want = []
+    for row in docs.collect():
+        ids = library.encode(row.text or "", add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        want.append((row.doc_id, packed, library.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want, key=repr)
+
+
+def test_encode_decode_of_an_empty_table(docs):
+    assert bpe.encode_decode(docs.where("false"), JSON).collect() == []
+
+
+def test_pack():
+    (a, b), blob = unpack(pack([1, 2**32 - 1, 70000], [], blob=b"xyz"))
+    assert (a.tolist(), b.tolist(), blob) == ([1, 2**32 - 1, 70000], [], b"xyz")
