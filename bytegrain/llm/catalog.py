@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
