@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.token_counts import token_counts
 
@@ -44,6 +45,52 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIX_ORACLE = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS draw
+  FROM documents
+), sized AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source
+), weighted AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3] AS weight
+  FROM sized
+), levels(round, level) AS (
+  SELECT 0, (SELECT CAST(sum(source_size) AS DOUBLE) / sum(weight) FROM weighted)
+  UNION ALL
+  SELECT round + 1,
+    (SELECT (sum(source_size) - sum(CASE WHEN weight * level >= 3 * source_size THEN 3 * source_size ELSE 0 END))
+            / CAST(sum(CASE WHEN weight * level >= 3 * source_size THEN 0 ELSE weight END) AS DOUBLE)
+     FROM weighted)
+  FROM levels WHERE round < 60
+), shared AS (
+  SELECT source, source_size,
+         least(weight * (SELECT max(level) FROM levels), 3.0 * source_size) AS target
+  FROM weighted
+), wholes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole
+  FROM shared
+), running AS (
+  SELECT r.*, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size AS rest,
+         sum(size) OVER (PARTITION BY r.source ORDER BY draw) AS upto,
+         sum(size) OVER (PARTITION BY r.source, draw) AS same
+  FROM rows r JOIN wholes w ON r.source IS NOT DISTINCT FROM w.source
+)
+SELECT doc_id, source, size, source_size, round(target, 3) AS target,
+       CAST(whole AS BIGINT) + CASE WHEN rest > 0 AND (upto < rest OR
+         (upto - same < rest AND upto - rest <= rest - (upto - same))) THEN 1 ELSE 0 END AS copies,
+       copies * size AS taken
+FROM running
+"""
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, cyclic_weights(docs, (5, 2, 1))).withColumn("target", F.round("target", 3))
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))

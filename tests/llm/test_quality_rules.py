@@ -63,7 +63,7 @@ def test_lines(spark):
         "menu": (f"Home | News | Shop | Help\n{GOOD}\n{other}", True, f"{GOOD}\n{other}"),
         "entry": (f"Back to top\n{GOOD}\n\n{other}", True, f"{GOOD}\n\n{other}"),
         "notice": (f"{GOOD}\n{other}\nAll rights reserved.", True, f"{GOOD}\n{other}"),
-        "twice": (f"{GOOD}\n{other}\n{GOOD[:29]}\n{GOOD[:29]}", True, f"{GOOD}\n{other}\n{GOOD[:29]}"),
+        "twice": (f"{GOOD}\n{other}\n{GOOD[:27]}\n{GOOD[:27]}", True, f"{GOOD}\n{other}\n{GOOD[:27]}"),
         "signs": (GOOD.replace(" ", " %%% ") + f"\n{other[:40]}", False, other[:40]),
         "shout": (GOOD.replace(" ", "!! ") + f"\n{other[:40]}", False, other[:40]),
         "question": (f"{GOOD}??\n{other}!!", True, f"{GOOD}??\n{other}!!"),
