@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.token_counts import token_counts
@@ -63,7 +64,7 @@ WITH RECURSIVE rows AS (
     (SELECT (sum(source_size) - sum(CASE WHEN weight * level >= 3 * source_size THEN 3 * source_size ELSE 0 END))
             / CAST(sum(CASE WHEN weight * level >= 3 * source_size THEN 0 ELSE weight END) AS DOUBLE)
      FROM weighted)
-  FROM levels WHERE round < 60
+  FROM levels WHERE round < 40
 ), shared AS (
   SELECT source, source_size,
          least(weight * (SELECT max(level) FROM levels), 3.0 * source_size) AS target
@@ -77,7 +78,7 @@ WITH RECURSIVE rows AS (
          sum(size) OVER (PARTITION BY r.source, draw) AS same
   FROM rows r JOIN wholes w ON r.source IS NOT DISTINCT FROM w.source
 )
-SELECT doc_id, source, size, source_size, round(target, 3) AS target,
+SELECT doc_id, source, size, source_size, target,
        CAST(whole AS BIGINT) + CASE WHEN rest > 0 AND (upto < rest OR
          (upto - same < rest AND upto - rest <= rest - (upto - same))) THEN 1 ELSE 0 END AS copies,
        copies * size AS taken
@@ -85,10 +86,10 @@ FROM running
 """
 
 
-@query("op2_mixing")
+@query("op2_mixing", MIX_ORACLE)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs, cyclic_weights(docs, (5, 2, 1))).withColumn("target", F.round("target", 3))
+    return mix(docs, cyclic_weights(docs, (5, 2, 1)))
 
 
 @query("op3_token_counts")
@@ -96,6 +97,47 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+FIXITY_ORACLE = r"""
+WITH records AS (
+  SELECT page_id, strlen(html) AS n, fate, CAST(concat(
+    'WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10),
+    'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+    'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+    'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10),
+    html, chr(13), chr(10), chr(13), chr(10)) AS VARCHAR) AS record
+  FROM (SELECT *, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 101 AS fate
+        FROM pages)
+), placed AS (
+  SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // 4096 AS archive FROM records
+)
+SELECT page_id, archive,
+       CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS start_offset,
+       CAST(sum(strlen(record)) OVER w AS BIGINT) AS stop_offset,
+       sha256(record) AS sha256,
+       CASE WHEN fate = 2 THEN 'missing' WHEN fate < 2 THEN 'changed' ELSE 'intact' END AS status
+FROM placed
+WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+"""
+
+
+def damaged_replica(records: DataFrame) -> DataFrame:
+    """A replica in which about one record in 34 is altered at its end, cut short, or lost."""
+    drawn = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    fate = F.pmod(drawn, F.lit(101))
+    altered = F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))
+    cut = F.expr("left(record, length(record) - 7)")
+    damaged = F.when(fate == 0, altered).when(fate == 1, cut).otherwise(F.col("record"))
+    return records.where(fate != 2).withColumn("record", damaged)
+
+
+@query("op4_warc_fixity", FIXITY_ORACLE)
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    records = pages.select("page_id", record.alias("record"))
+    return audit(records, damaged_replica(records))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")

@@ -59,7 +59,7 @@ def share_targets(sources: DataFrame, budget: int | None, most: int) -> DataFram
     while True:
         capped = F.lit(False)
         if free is not None:
-            capped = weight * (total - stopped) / free >= cap
+            capped = weight * ((total - stopped) / free) >= cap
         row = sources.agg(
             F.coalesce(F.sum(F.when(capped, cap)), F.lit(0)).alias("stopped"),
             F.sum(F.when(~capped, weight)).alias("free"),
@@ -70,8 +70,8 @@ def share_targets(sources: DataFrame, budget: int | None, most: int) -> DataFram
         stopped, free, full = row.stopped, row.free, row.full
     if not row.free:
         return sources.withColumn("_target", cap.cast("double"))
-    level = weight * (total - stopped) / free
-    return sources.withColumn("_target", F.least(level, cap.cast("double")))
+    level = (total - stopped) / free
+    return sources.withColumn("_target", F.least(weight * F.lit(level), cap.cast("double")))
 
 
 def boundary(rows: DataFrame, targets: DataFrame, count: int, level: int) -> DataFrame:
