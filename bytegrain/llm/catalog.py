@@ -14,6 +14,7 @@ from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.token_counts import token_counts
+from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +139,22 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, damaged_replica(records))
 
 
+TOXIC = 0.7
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.where(fold(F.col("doc_id")) != 1))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        "offending",
+    )
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
