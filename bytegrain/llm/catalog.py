@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
 from bytegrain.llm.fixity import audit, warc_record
+from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.token_counts import token_counts
@@ -155,6 +156,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
