@@ -14,6 +14,7 @@ from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
+from bytegrain.llm.substring_dedup import remove_repeats
 from bytegrain.llm.token_counts import token_counts
 from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
 
@@ -164,3 +165,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
