@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.fingerprints import fingerprint_edits
 from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.mixing import cyclic_weights, mix
@@ -162,6 +163,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return printed.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
