@@ -13,6 +13,7 @@ from bytegrain.llm.bpe import encode_decode
 from bytegrain.llm.fingerprints import fingerprint_edits
 from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
+from bytegrain.llm.lm_scoring import score_documents
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import line_first_quality
 from bytegrain.llm.substring_dedup import remove_repeats
@@ -169,6 +170,57 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
+LM_ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, w FROM words
+), grams AS (
+  SELECT doc_id, n, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM placed
+), singles AS (
+  SELECT word, doc_id, count(*) AS own, sum(count(*)) OVER (PARTITION BY word) AS everywhere
+  FROM grams GROUP BY word, doc_id
+), pairs AS (
+  SELECT before, word, doc_id, count(*) AS own,
+         sum(count(*)) OVER (PARTITION BY before, word) AS everywhere
+  FROM grams WHERE before IS NOT NULL GROUP BY before, word, doc_id
+), total AS (
+  SELECT sum(len(w)) AS n FROM words
+), scored AS (
+  SELECT g.doc_id,
+    CASE WHEN p.everywhere - p.own > 0 THEN ln((p.everywhere - p.own) / (c.everywhere - c.own))
+         ELSE (CASE WHEN g.before IS NULL THEN 0 ELSE ln(0.4) END)
+              + CASE WHEN s.everywhere - s.own > 0
+                     THEN ln((s.everywhere - s.own) / (total.n - g.n))
+                     ELSE ln(0.4) - ln(greatest(total.n - g.n, 1)) END END AS log_score,
+    coalesce(p.everywhere - p.own > 0, FALSE) AS highest,
+    s.everywhere = s.own AND NOT coalesce(p.everywhere - p.own > 0, FALSE) AS unseen
+  FROM grams g CROSS JOIN total
+  JOIN singles s ON s.word = g.word AND s.doc_id = g.doc_id
+  LEFT JOIN singles c ON c.word = g.before AND c.doc_id = g.doc_id
+  LEFT JOIN pairs p ON p.before = g.before AND p.word = g.word AND p.doc_id = g.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+       round(coalesce(sum(log_score), 0), 3) AS log_score,
+       round(sum(log_score) / nullif(len(d.w), 0), 4) AS mean_log_score,
+       CAST(coalesce(sum(CAST(highest AS INT)), 0) AS BIGINT) AS n_highest,
+       CAST(coalesce(sum(CAST(unseen AS INT)), 0) AS BIGINT) AS n_unseen
+FROM words d LEFT JOIN scored USING (doc_id)
+GROUP BY d.doc_id, len(d.w)
+"""
+
+
+@query("op8_lm_scoring", LM_ORACLE)
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumns(
+        {
+            "log_score": F.round("log_score", 3),
+            "mean_log_score": F.round("mean_log_score", 4),
+        }
+    )
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
