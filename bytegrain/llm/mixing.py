@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +98,34 @@ def boundary(rows: DataFrame, targets: DataFrame, count: int, level: int) -> Dat
     return running.where("_before < _rest AND _after >= _rest").drop("_rest")
 
 
-def mix(
+@dataclass(frozen=True)
+class Mix:
+    """What a mix takes, by source: (_source, source_size, target, _whole, _threshold)."""
+
+    rows: DataFrame  # (_key, _source, _size, _draw) of all documents
+    decided: DataFrame
+    count: int
+    seed: str
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """Add source_size, target and copies to rows with _source and _draw."""
+        times = F.col("_whole") + (F.col("_draw") < F.col("_threshold")).cast("bigint")
+        met = by_source(rows, self.decided, self.count)
+        return met.withColumn("copies", times).drop("_whole", "_threshold")
+
+    def documents(self, docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+        """The documents of the mix, each as often as it is taken, with their own columns."""
+        whole = docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"),
+            F.col(source).alias("_source"),
+            draw(F.col(key), self.seed).alias("_draw"),
+        )
+        taken = self.copies(whole).where("copies > 0")
+        each = taken.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        return each.select("_all.*")
+
+
+def plan_mix(
     docs: DataFrame,
     weights: DataFrame,
     key: str = "doc_id",
@@ -105,13 +134,11 @@ def mix(
     budget: int | None = None,
     most: int = 3,
     seed: str = "mix",
-) -> DataFrame:
-    """How often the mix takes each document.
+) -> Mix:
+    """Find whole copies and the threshold of draws for each source.
 
     `weights` has (source, weight) once for each source, null as a source of its own; `budget`
-    counts words, by default those of all documents. Returns (key, source, size, source_size,
-    target, copies, taken), one row for each row: every document is taken `copies` times,
-    `taken` words in all.
+    counts words, by default those of all documents.
 
     A source that is short of its target is taken whole as often as fits; the rest comes from
     documents whose draw by key lies below a threshold of the source. Thresholds come from
@@ -119,10 +146,6 @@ def mix(
     is refined twice, each time over its own documents only, to 36 bits. The last bucket is
     taken if that comes nearer to the target. Draws depend on key and seed alone, so reruns
     agree, and a larger budget takes what a smaller one took.
-
-    Equal keys are taken alike. Null and empty texts have size 0; a source of size 0 has the
-    target 0. Sources without a weight are left out; an empty table gives no rows. Other
-    columns are not read.
     """
     rows = Stage(
         docs.select(
@@ -183,15 +206,26 @@ def mix(
         "_whole",
         F.coalesce("_threshold", F.lit(0)).alias("_threshold"),
     )
-    times = F.col("_whole") + (F.col("_draw") < F.col("_threshold")).cast("bigint")
-    return by_source(rows, Stage(decided, "thresholds").df, count).select(
+    return Mix(rows, Stage(decided, "thresholds").df, count, seed)
+
+
+def mix(docs: DataFrame, weights: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """How often the mix takes each document; options are those of plan_mix.
+
+    Returns (key, source, size, source_size, target, copies, taken), one row for each row:
+    every document is taken `copies` times, `taken` words in all. Equal keys are taken alike.
+    Null and empty texts have size 0; a source of size 0 has the target 0. Sources without a
+    weight are left out; an empty table gives no rows. Other columns are not read.
+    """
+    planned = plan_mix(docs, weights, key=key, source=source, **options)
+    return planned.copies(planned.rows).select(
         F.col("_key").alias(key),
         F.col("_source").alias(source),
         F.col("_size").alias("size"),
         "source_size",
         "target",
-        times.alias("copies"),
-        (times * F.col("_size")).alias("taken"),
+        "copies",
+        (F.col("copies") * F.col("_size")).alias("taken"),
     )
 
 
