@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from bytegrain.llm.arrow import ddl, pack, slices, unpack
 from bytegrain.llm.tokenizer import TokenizerFile
-from bytegrain.session import Stage
+from bytegrain.session import Stage, shared_root
 
 BLOCK_WORDS = 1 << 19  # distinct words of a block of documents
 BLOCK_BYTES = 1 << 26  # text of a block of documents
@@ -24,10 +25,17 @@ KNOWN_BYTES = 1 << 26  # words and ids that a task remembers of its bucket
 
 
 class Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
+    """Numbers words: bucket by bucket of their hash, in the order in which they are first
+    asked for. The word at place i of bucket b has number i * buckets + b."""
+
+    def __init__(self, buckets: int):
+        self.words: list[list[bytes]] = [[] for _ in range(buckets)]
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
+        raw = word.encode()
+        bucket = zlib.crc32(raw) % len(self.words)
+        number = self[word] = len(self.words[bucket]) * len(self.words) + bucket
+        self.words[bucket].append(raw)
         return number
 
 
@@ -38,7 +46,7 @@ def split_blocks(file: TokenizerFile, buckets: int, key_type: pa.DataType, block
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = file.load()
         block = TaskContext.get().partitionId() << 32
-        numbers, size = Numbers(), 0
+        numbers, size = Numbers(buckets), 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 codes, counts = [], []
@@ -51,9 +59,9 @@ def split_blocks(file: TokenizerFile, buckets: int, key_type: pa.DataType, block
                 keys = pa.ListArray.from_arrays([0, part.num_rows], part.column("_key"))
                 yield _row(block, keys.cast(pa.list_(key_type)), None, None, pack(counts, codes))
                 if len(numbers) >= block_words or size >= BLOCK_BYTES:
-                    yield from _word_rows(block, numbers, buckets, key_type)
-                    block, numbers, size = block + 1, Numbers(), 0
-        yield from _word_rows(block, numbers, buckets, key_type)
+                    yield from _word_rows(block, numbers, key_type)
+                    block, numbers, size = block + 1, Numbers(buckets), 0
+        yield from _word_rows(block, numbers, key_type)
 
     return split
 
@@ -69,17 +77,12 @@ def _row(block, keys, bucket, words, codes) -> pa.RecordBatch:
     return pa.record_batch(columns, ["block", "keys", "bucket", "words", "codes"])
 
 
-def _word_rows(block, numbers, buckets, key_type) -> Iterator[pa.RecordBatch]:
-    lists: dict[int, tuple[list[int], list[bytes]]] = {}
-    for word, number in numbers.items():
-        raw = word.encode()
-        at, words = lists.setdefault(zlib.crc32(raw) % buckets, ([], []))
-        at.append(number)
-        words.append(raw)
+def _word_rows(block, numbers, key_type) -> Iterator[pa.RecordBatch]:
     none = pa.nulls(1, pa.list_(key_type))
-    for bucket, (at, words) in lists.items():
-        packed = pack(at, list(map(len, words)), blob=b"".join(words))
-        yield _row(block, none, bucket, packed, None)
+    for bucket, words in enumerate(numbers.words):
+        if words:
+            packed = pack(list(map(len, words)), blob=b"".join(words))
+            yield _row(block, none, bucket, packed, None)
 
 
 def encode_buckets(file: TokenizerFile):
@@ -92,7 +95,7 @@ def encode_buckets(file: TokenizerFile):
             known: dict[bytes, list[int]] = {}
             held = 0
             for row in bucket:
-                (at, lengths), blob = unpack(row["words"])
+                (lengths,), blob = unpack(row["words"])
                 ends = np.cumsum(lengths, dtype=np.int64)
                 words = [blob[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
                 if held > KNOWN_BYTES:
@@ -104,50 +107,53 @@ def encode_buckets(file: TokenizerFile):
                 flat = np.array([i for word in ids for i in word], "<u4")
                 columns = [
                     pa.array([row["block"]], pa.int64()),
-                    pa.array([pack(at, list(map(len, ids)), flat)], pa.binary()),
+                    pa.array([row["bucket"]], pa.int32()),
+                    pa.array([pack(list(map(len, ids)), flat)], pa.binary()),
                     pa.array([np.unique(flat)], pa.list_(pa.int32())),
                 ]
-                yield pa.record_batch(columns, ["block", "ids", "used"])
+                yield pa.record_batch(columns, ["block", "bucket", "ids", "used"])
 
     return encode
 
 
-def assemble_blocks(key_type: pa.DataType):
-    """Put ids and pieces back by position, one block after the other."""
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in _rows(batch))
-        for _, block in groupby(rows, lambda row: row["block"]):
-            pieces: dict[int, bytes] = {}
-            parts, table = [], None
-            for row in block:  # pieces, then words, then documents
-                if row["piece"] is not None:
-                    pieces[row["id"]] = row["piece"]
-                elif row["ids"] is not None:
-                    parts.append(unpack(row["ids"])[0])
-                else:
-                    table = table or WordTable(parts, pieces)
-                    yield table.documents(row["keys"], row["codes"], key_type)
+def assemble_block(buckets: int, key_type: pa.DataType):
+    """Put ids and pieces back by position in the documents of a block."""
+
+    def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
+        pieces: dict[int, bytes] = {}
+        parts: dict[int, list[np.ndarray]] = {}
+        for row in words.to_pylist():
+            if row["piece"] is not None:
+                pieces[row["id"]] = row["piece"]
+            else:
+                parts[row["bucket"]] = unpack(row["ids"])[0]
+        table = WordTable(parts, pieces, buckets)
+        return pa.Table.from_batches(
+            [
+                table.documents(keys.as_py(), codes.as_py(), key_type)
+                for keys, codes in zip(documents.column("keys"), documents.column("codes"))
+            ],
+            pa.schema([("_key", key_type), ("ids", pa.binary()), ("decoded", pa.string())]),
+        )
 
     return assemble
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for row in range(batch.num_rows):
-        yield {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-
-
 class WordTable:
     """The words of a block by number: their ids, and the bytes these decode to."""
 
-    def __init__(self, parts: list, pieces: dict[int, bytes]):
-        none = np.zeros(0, np.uint32)
-        at = np.concatenate([none, *[part[0] for part in parts]])
-        lengths = np.concatenate([none, *[part[1] for part in parts]]).astype(np.int64)
-        self.ids = np.concatenate([none, *[part[2] for part in parts]]).astype("<u4")
-        order = np.argsort(at)
-        self.starts = (np.cumsum(lengths) - lengths)[order]
-        self.lengths = lengths[order]
+    def __init__(self, parts: dict[int, list[np.ndarray]], pieces: dict[int, bytes], buckets: int):
+        slots = max((len(lengths) for lengths, _ in parts.values()), default=0)
+        starts, sizes = np.zeros((slots, buckets), np.int64), np.zeros((slots, buckets), np.int64)
+        ids, at = [np.zeros(0, "<u4")], 0
+        for bucket, (lengths, flat) in parts.items():
+            ends = np.cumsum(lengths, dtype=np.int64)
+            starts[: len(ends), bucket] = at + ends - lengths
+            sizes[: len(ends), bucket] = lengths
+            ids.append(flat)
+            at += len(flat)
+        self.ids = np.concatenate(ids).astype("<u4")
+        self.starts, self.lengths = starts.reshape(-1), sizes.reshape(-1)
         decoded = [pieces[i] for i in self.ids.tolist()]
         self.words = [
             b"".join(decoded[start : start + length])
@@ -188,13 +194,13 @@ def encode_decode(
     repeated keys are kept apart, other columns are not read, an empty table gives no rows.
 
     1. Blocks of documents (about `block_words` distinct words or 2^26 characters at most)
-       are cut into words and their words numbered; written as a staged table: word numbers
-       of documents, and per block and hash bucket the distinct words.
+       are cut into words and their words numbered; written as a table bucketed by block: word
+       numbers of documents, and per block and hash bucket the distinct words.
     2. Each bucket encodes its distinct words once. A word comes once from each block, however
        often it occurs, so a frequent word is no hot key. Staged again.
     3. The ids that a block uses are joined with the id-to-piece table, which is broadcast: it
        has one row for each id of the vocabulary and doesn't grow with the data.
-    4. Ids and pieces go to the documents of their block by position.
+    4. Ids and pieces go to the documents of their block by position; these don't move.
     """
     spark = docs.sparkSession
     file = TokenizerFile.read(path)
@@ -203,37 +209,42 @@ def encode_decode(
     key_type = to_arrow_type(docs.schema[key].dataType)
     kind = ddl(docs, key)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    blocks = Stage(
+    blocks = bucketed(
         rows.mapInArrow(
             split_blocks(file, buckets, key_type, block_words),
             f"block bigint, keys array<{kind}>, bucket int, words binary, codes binary",
         ),
-        "blocks",
-    ).df
+        buckets,
+    )
     words = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words")
     encoded = Stage(
         words.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(encode_buckets(file), "block bigint, ids binary, used array<int>"),
+        .mapInArrow(encode_buckets(file), "block bigint, bucket int, ids binary, used array<int>"),
         "word-ids",
     ).df
     vocabulary = spark.createDataFrame(file.load().pieces(), "id int, piece binary")
-    pieces = (
-        encoded.select("block", F.explode("used").alias("id"))
-        .distinct()
-        .join(F.broadcast(vocabulary), "id")
+    used = encoded.groupBy("block").agg(
+        F.array_distinct(F.flatten(F.collect_list("used"))).alias("used")  # of the vocabulary
     )
-    together = (
-        pieces.select("block", F.lit(0).alias("kind"), "id", "piece")
-        .unionByName(encoded.select("block", F.lit(1).alias("kind"), "ids"), True)
-        .unionByName(
-            blocks.where("bucket IS NULL").select("block", F.lit(2).alias("kind"), "keys", "codes"),
-            True,
-        )
+    pieces = used.select("block", F.explode("used").alias("id")).join(F.broadcast(vocabulary), "id")
+    known = encoded.select("block", "bucket", "ids").unionByName(
+        pieces.select("block", "id", "piece"), True
     )
+    coded = blocks.where("bucket IS NULL").select("block", "keys", "codes")
     return (
-        together.repartition("block")
-        .sortWithinPartitions("block", "kind")
-        .mapInArrow(assemble_blocks(key_type), f"_key {kind}, ids binary, decoded string")
+        coded.groupBy("block")
+        .cogroup(known.groupBy("block"))
+        .applyInArrow(
+            assemble_block(buckets, key_type), f"_key {kind}, ids binary, decoded string"
+        )
         .withColumnRenamed("_key", key)
     )
+
+
+def bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    spark = blocks.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/bytegrain/{name}"
+    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
