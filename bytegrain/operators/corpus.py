@@ -51,11 +51,9 @@ def corpus_stats(
     text: str = "text",
 ) -> DataFrame:
     """One row of counters over the unfiltered corpus, in one pass."""
-    drawn = docs.select(
-        keep_draw(F.col(key), fraction, seed).alias("drawn"),
-        F.length(strip(F.col(text))).alias("chars"),
-    )
-    kept = F.col("drawn") & (F.col("chars") >= min_chars)
+    draw = keep_draw(F.col(key), fraction, seed)
+    drawn = docs.select(F.when(draw, F.length(strip(F.col(text)))).alias("chars"))
+    kept = F.coalesce(F.col("chars") >= min_chars, F.lit(False))
     totals = drawn.agg(
         F.count("*").alias("docs_seen"),
         F.count_if(kept).alias("docs_kept"),

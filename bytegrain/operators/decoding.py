@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegrain.functions.rows import explode_computed
 from bytegrain.model import BpeModel
 
 UNKNOWN = "<UNK>"
-LOOKUP_BYTES = 64 << 20  # vocabulary size up to which it rides along as one constant
 
 
 def decode(
@@ -18,19 +16,15 @@ def decode(
     ids: str = "ids",
     skip_special: bool = True,
     out: str = "decoded",
-    key: str | None = None,
 ) -> DataFrame:
     """Add the text of each id array.
 
     Special and reserved ids are dropped, or spelled out with `skip_special=False`;
-    unknown ids give the bytes of `<UNK>`; invalid UTF-8 becomes U+FFFD.
-
-    A vocabulary whose byte strings exceed `LOOKUP_BYTES` (merges that have grown over
-    very long runs) is joined instead, which needs the name of a unique `key`.
+    unknown ids give the bytes of `<UNK>`; invalid UTF-8 becomes U+FFFD; a null array gives
+    null, an empty one the empty text. The vocabulary rides along as one constant whatever its
+    size, so no row is matched by a key.
     """
     contents = _contents(model, skip_special)
-    if sum(map(len, contents)) > LOOKUP_BYTES:
-        return _decode_joined(encoded, contents, ids, out, key)
     table = encoded.sparkSession.createDataFrame([(contents,)], "contents array<string>")
     parts = F.transform(
         F.col(ids), lambda i: F.coalesce(F.get(F.col("_contents"), i), F.lit(UNKNOWN))
@@ -42,27 +36,6 @@ def decode(
     )
 
 
-def _decode_joined(
-    encoded: DataFrame, contents: list[str], ids: str, out: str, key: str | None
-) -> DataFrame:
-    if key is None:
-        raise ValueError("a vocabulary of this size needs a key to decode by")
-    vocab = encoded.sparkSession.createDataFrame(
-        list(enumerate(contents)), "_id int, _content string"
-    )
-    tokens = explode_computed(encoded, [key], F.col(ids), "_id", "_pos")
-    named = tokens.join(vocab, "_id", "left").select(
-        key, F.struct("_pos", F.coalesce("_content", F.lit(UNKNOWN)).alias("_content")).alias("_at")
-    )
-    texts = named.groupBy(key).agg(F.sort_array(F.collect_list("_at")).alias("_parts"))
-    parts = F.coalesce("_parts._content", F.array().cast("array<string>"))
-    return (
-        encoded.join(texts, key, "left")
-        .withColumn(out, bytes_to_text(F.array_join(parts, "")))
-        .drop("_parts")
-    )
-
-
 def bytes_to_text(latin: Column) -> Column:
     """Text of a byte string written as Latin-1, malformed UTF-8 replaced."""
     return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))

@@ -33,7 +33,8 @@ DICTIONARY_CHUNK = 64
 DICTIONARY_SHARE = 1e-6
 WHOLE_TEXT_MERGES = 48  # up to here, replaying all merges on the text beats chunk lookups
 REPLAY_MERGES = 256  # up to here, replaying every merge on a chunk beats looking up slices
-SHORT_CHUNK = 256  # longer chunks replay all merges instead of looking up every slice
+SHORT_CHUNK = 256  # longer chunks are cut before they are segmented
+WINDOW = 256  # starts of slices that are looked up together
 
 
 def encode(
@@ -57,7 +58,7 @@ def encode(
     if add_special:
         bos, eos = (F.array(F.lit(model.layout.special_id(s))) for s in ("<BOS>", "<EOS>"))
         ids = F.concat(bos, ids, eos)
-    return tables.withColumn(out, ids).drop("_known", "_merges", "_replay")
+    return tables.withColumn(out, ids).drop("_known", "_merges")
 
 
 def _chunk_tokens(chunk: Column, model: BpeModel) -> Column:
@@ -68,7 +69,7 @@ def _chunk_tokens(chunk: Column, model: BpeModel) -> Column:
 def segment_chunks(words: DataFrame, model: BpeModel) -> DataFrame:
     """Add `tokens`, the token string of each row's `chunk`."""
     tables = _with_merges(words, model)
-    return tables.withColumn("tokens", _segment(F.col("chunk"), model)).drop("_merges", "_replay")
+    return tables.withColumn("tokens", _segment(F.col("chunk"), model)).drop("_merges")
 
 
 def use_dictionary_of(
@@ -87,35 +88,93 @@ def use_dictionary_of(
 def _segment(chunk: Column, model: BpeModel) -> Column:
     """Lowest-rank-first segmentation of one chunk.
 
-    A merge can only fire where its bytes occur, so replaying in rank order the merges
-    found among the chunk's slices equals replaying all of them.
+    A merge can only fire where its bytes occur. So replaying in rank order the merges found
+    among the chunk's slices equals replaying all of them; and a long chunk may first be cut
+    wherever no occurrence of a merge's bytes lies across, each piece being segmented on its
+    own. Slices are looked up in windows, so the work grows with the length of the chunk.
     """
     if len(model.merges) <= REPLAY_MERGES:
         return apply_merges(byte_tokens(chunk), _merge_literal(model))
-    longest = max(len(content) for _, content, kind, _ in model.vocab_rows if kind == "merge")
-
-    def segment(tokens: Column) -> Column:
-        n = F.length(tokens)
-        slices = F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda start: F.transform(
-                F.sequence(F.lit(2), F.least(F.lit(longest), n - start + 1)),
-                lambda size: F.substring(tokens, start, size),
-            ),
+    made = {len(content) for _, content, kind, _ in model.vocab_rows if kind == "merge"}
+    longest, slots = max(made), len(model.merges)
+    sizes = F.array(*map(F.lit, sorted(made)))
+
+    def lookup(merges: Column, text: Column) -> Column:
+        bucket = F.get(merges, F.pmod(F.xxhash64(text), F.lit(slots)).cast("int"))
+        return F.filter(bucket, lambda m: m["made"] == text)
+
+    def found(tokens: Column, merges: Column) -> Column:
+        def inside(window: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.length(window))
+            slices = F.transform(
+                starts, lambda at: F.transform(sizes, lambda size: F.substring(window, at, size))
+            )
+            return F.flatten(
+                F.transform(F.array_distinct(F.flatten(slices)), lambda s: lookup(merges, s))
+            )
+
+        windows = F.transform(
+            F.sequence(F.lit(1), F.length(tokens), F.lit(WINDOW)),
+            lambda at: inside(F.substring(tokens, at, F.lit(WINDOW + longest))),
         )
-        found = F.transform(
-            F.array_distinct(F.flatten(slices)),
-            lambda s: F.filter(
-                _bucket("_merges", len(model.merges), s), lambda m: m["made"] == s
-            ),
-        )
-        return (
-            F.when(n < 2, tokens)
-            .when(n <= SHORT_CHUNK, apply_merges(tokens, F.sort_array(F.flatten(found))))
-            .otherwise(apply_merges(tokens, F.col("_replay")))
+        return F.sort_array(F.array_distinct(F.flatten(windows)))
+
+    def marked(tokens: Column, merges: Column, at: Column) -> Column:
+        """The signs of one window, with a mark after each that no occurrence continues."""
+        start = F.greatest(F.lit(1), at - longest)
+        count = F.least(F.lit(WINDOW), F.length(tokens) - at + 1)
+
+        def marks(window: Column, before: Column) -> Column:
+            reach = F.transform(
+                F.sequence(F.lit(1), F.length(window)),
+                lambda i: F.array_max(
+                    F.transform(
+                        sizes,
+                        lambda size: F.when(
+                            F.size(lookup(merges, F.substring(window, i, size))) > 0, size
+                        ).otherwise(0),
+                    )
+                ),
+            )
+
+            def signs(chars: Column, reach: Column) -> Column:
+                def covered(i: Column) -> Column:
+                    back = F.sequence(F.lit(0), F.lit(longest - 2))
+                    return F.exists(back, lambda o: F.coalesce(F.get(reach, i - o), F.lit(0)) >= o + 2)
+
+                places = F.sequence(before, before + count - 1)
+                each = lambda i: F.concat(
+                    F.get(chars, i), F.when(covered(i), "").otherwise(BORDER)
+                )
+                return F.array_join(F.transform(places, each), "")
+
+            return bound(lambda b: signs(b["chars"], b["reach"]), chars=F.split(window, ""), reach=reach)
+
+        window = F.substring(tokens, start, F.lit(WINDOW + 2 * longest))
+        return bound(lambda b: marks(b["window"], b["before"]), window=window, before=at - start)
+
+    def replay(tokens: Column, merges: Column) -> Column:
+        return F.when(F.length(tokens) < 2, tokens).otherwise(
+            apply_merges(tokens, found(tokens, merges))
         )
 
-    return F.get(F.transform(F.array(byte_tokens(chunk)), segment), F.lit(0))
+    def segment(tokens: Column, merges: Column) -> Column:
+        windows = F.sequence(F.lit(1), F.length(tokens), F.lit(WINDOW))
+        cut = F.array_join(F.transform(windows, lambda at: marked(tokens, merges, at)), "")
+        pieces = F.array_join(F.transform(F.split(cut, BORDER), lambda p: replay(p, merges)), "")
+        return F.when(F.length(tokens) <= SHORT_CHUNK, replay(tokens, merges)).otherwise(pieces)
+
+    return bound(
+        lambda b: segment(b["tokens"], b["merges"]),
+        tokens=byte_tokens(chunk),
+        merges=F.col("_merges"),
+    )
+
+
+def bound(use, **values: Column) -> Column:
+    """`use` of values that are computed once, as fields of a struct."""
+    held = F.array(F.struct(*[value.alias(name) for name, value in values.items()]))
+    return F.get(F.transform(held, use), F.lit(0))
 
 
 def _bucket(table: str, slots: int, key: Column) -> Column:
@@ -149,7 +208,7 @@ def _merge_literal(model: BpeModel) -> Column:
 
 
 def _with_merges(df: DataFrame, model: BpeModel) -> DataFrame:
-    """Add the merge tables as constant columns, each used once so that the optimizer
+    """Add the merge table as a constant column that is used once, so that the optimizer
     moves the subquery into its place of use."""
     if len(model.merges) <= REPLAY_MERGES:
         return df
@@ -157,15 +216,8 @@ def _with_merges(df: DataFrame, model: BpeModel) -> DataFrame:
         rows = df.sparkSession.createDataFrame(
             _merge_rows(model), "rank int, pair string, new string, made string"
         )
-        in_order = F.sort_array(F.collect_list(F.struct("rank", "pair", "new")))
         model.memo["merges"] = Stage(_bucketed(rows, "made", len(model.merges)), "merges").df
-        model.memo["replay"] = Stage(rows.agg(in_order.alias("replay")), "replay").df
-    return df.withColumns(
-        {
-            "_merges": model.memo["merges"].scalar(),
-            "_replay": model.memo["replay"].scalar(),
-        }
-    )
+    return df.withColumn("_merges", model.memo["merges"].scalar())
 
 
 def _dictionary(spark: SparkSession, model: BpeModel) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytegrain.functions.text import keep_draw
 from bytegrain.operators.corpus import SEED
 from bytegrain.operators.ordering import with_start
+from bytegrain.session import Stage
 
 TRAIN_SHARE = 0.9
 
@@ -23,10 +24,11 @@ def assign_split(
 def token_offsets(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(split, key, n_tokens, start_offset): each document's place in its split's flat array.
 
-    Works on lengths alone; the ids themselves are not shuffled.
+    Works on lengths alone, which are written down first: finding the bounds of a range
+    shuffle runs the plan below it, and `encoded` may be a plan that encodes.
     """
     lengths = encoded.select("split", key, F.size(ids).cast("bigint").alias("n_tokens"))
-    return with_start(lengths, "n_tokens", "split", key)
+    return with_start(Stage(lengths, "lengths").df, "n_tokens", "split", key)
 
 
 def token_table(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -15,6 +15,7 @@ from bytegrain.operators.decoding import decode
 from bytegrain.operators.encoding import encode, use_dictionary_of
 from bytegrain.operators.training import train
 from bytegrain.plans import oracle as sql
+from bytegrain.plans.jobs import build_corpus
 from bytegrain.session import Stage, shared_root
 from bytegrain.sources import artifact, tables
 from bytegrain.streaming import ingest
@@ -178,14 +179,16 @@ def q_shard_text(spark, sf_dir):
     FROM ranked, first""",
 )
 def q_shard_resume(spark, sf_dir):
+    """The corpus job on a sample, then on everything."""
     path = fresh_path(spark, "shards")
-    docs = prepared(spark, sf_dir).select("doc_id")
-    tables.write_shards(shards.assign_shards(corpus.sample_corpus(docs, SAMPLE), SHARD), path)
+    docs = documents(spark, sf_dir)
+    build_corpus(docs, path, SAMPLE, shard_size=SHARD)
+    first = Stage(tables.landed_documents(spark, path), "landed").df
+    build_corpus(docs, path, shard_size=SHARD)
+    run = F.when(F.col("before").isNull(), "new").otherwise("landed").alias("run")
+    before = first.select("doc_id", F.col("shard_id").alias("before"))
     landed = tables.landed_documents(spark, path)
-    new = shards.resume_shards(docs, landed, SHARD)
-    return landed.withColumn("run", F.lit("landed")).unionByName(
-        new.drop("shard_last").withColumn("run", F.lit("new"))
-    )
+    return landed.join(before, "doc_id", "left").select("doc_id", run, "shard_id")
 
 
 # Pre-tokens and their frequencies
@@ -353,6 +356,33 @@ def q_train_first_seen(spark, sf_dir):
     return _merge_rows(spark, model)
 
 
+@register(
+    "q_train_first_docs",
+    sql.with_recursive(
+        sql.words(pattern="legacy", order="doc_id"), sql.training(MERGES, "compact", "first")
+    )
+    + f" SELECT {_MERGED} FROM merged",
+)
+def q_train_first_docs(spark, sf_dir):
+    """Ties go to the pair met first, on the main corpus."""
+    words = chunks.word_freq(documents(spark, sf_dir), "legacy", order="doc_id")
+    shape = LAYOUTS["compact"]
+    model = train(words, shape.merges_start + MERGES, shape, "legacy", tie="first")
+    return _merge_rows(spark, model)
+
+
+@register(
+    "q_early_stop",
+    sql.with_recursive(sql.words("conversations", "role"), sql.training(200))
+    + f" SELECT {_MERGED}, (SELECT count(*) FROM merged) AS learned FROM merged",
+)
+def q_early_stop(spark, sf_dir):
+    """A corpus of few words runs out of pairs before the vocabulary is full."""
+    roles = table(spark, sf_dir, "conversations", "conv_id", "conv_id", "role")
+    model = train(chunks.word_freq(roles, text="role"), LAYOUTS["spec"].merges_start + 200)
+    return _merge_rows(spark, model).withColumn("learned", F.lit(len(model.merges)).cast("bigint"))
+
+
 @register(
     "q_train_joined",
     sql.with_recursive(_SHARD_TEXT, sql.words("shard_texts"), sql.training(MERGES))
@@ -517,14 +547,112 @@ def q_encode_loaded(spark, sf_dir):
     return encode(pages, model, "html").select("page_id", joined(F.col("ids")).alias("ids"))
 
 
-@register("q_literal_specials", "SELECT doc_id, 0 AS specials, TRUE AS same FROM documents")
+@register(
+    "q_artifact_legacy",
+    sql.with_recursive(
+        sql.words(pattern="legacy"),
+        sql.training(MERGES, "compact"),
+        sql.encoded(pattern="legacy"),
+    )
+    + " SELECT doc_id, ids FROM encoded",
+)
+def q_artifact_legacy(spark, sf_dir):
+    """The pattern comes back with the artifact."""
+    path = fresh_path(spark, "artifact")
+    artifact.save_model(spark, trained(spark, sf_dir, MERGES, "compact", "legacy"), path)
+    docs = documents(spark, sf_dir)
+    model = artifact.load_model(spark, path)
+    return encode(docs, model).select("doc_id", joined(F.col("ids")).alias("ids"))
+
+
+LARGE = 300  # merges; beyond encoding.REPLAY_MERGES, so chunks are segmented by lookups
+
+
+def large_model(spark: SparkSession, sf_dir: str) -> BpeModel:
+    key = (spark.sparkContext.applicationId, sf_dir, "benchmark", LARGE)
+    if key not in _models:
+        items = table(spark, sf_dir, "benchmark", "item_id", "item_id", "text")
+        _models[key] = train(chunks.word_freq(items), LAYOUTS["spec"].merges_start + LARGE)
+    return _models[key]
+
+
+@register(
+    "q_encode_large",
+    sql.with_recursive(
+        "turns AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)",
+        sql.words("benchmark", extra="turns"),
+        sql.training(LARGE),
+        sql.encoded("turns", "turn_id"),
+    )
+    + " SELECT turn_id, ids, n_tokens FROM encoded",
+)
+def q_encode_large(spark, sf_dir):
+    """Unseen texts by lookups of merges, mostly outside the dictionary."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "conv_id", "turn", "text")
+    return encode(turns, large_model(spark, sf_dir)).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+        joined(F.col("ids")).alias("ids"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+    )
+
+
+@register(
+    "q_encode_dictionary",
+    sql.with_recursive(
+        sql.words("benchmark"), sql.training(LARGE), sql.encoded("benchmark", "item_id")
+    )
+    + " SELECT item_id, ids FROM encoded",
+)
+def q_encode_dictionary(spark, sf_dir):
+    """Training texts, whose chunks are all in the dictionary."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "item_id", "text")
+    return encode(items, large_model(spark, sf_dir)).select(
+        "item_id", joined(F.col("ids")).alias("ids")
+    )
+
+
+@register(
+    "q_encode_long_chunks",
+    sql.with_recursive(
+        "runs AS (SELECT conv_id * 1000 + turn AS turn_id, regexp_replace(text, '[^A-Za-z]', '', 'g') "
+        "AS text FROM conversations)",
+        sql.words("benchmark", extra="runs"),
+        sql.training(LARGE),
+        sql.encoded("runs", "turn_id"),
+    )
+    + " SELECT turn_id, ids, n_tokens FROM encoded",
+)
+def q_encode_long_chunks(spark, sf_dir):
+    """Turns without blanks and signs: each is one chunk of up to thousands of letters."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "conv_id", "turn", "text")
+    runs = turns.withColumn("text", F.regexp_replace("text", "[^A-Za-z]", ""))
+    return encode(runs, large_model(spark, sf_dir)).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+        joined(F.col("ids")).alias("ids"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+    )
+
+
+@register(
+    "q_literal_specials",
+    sql.with_recursive(
+        "marked AS (SELECT doc_id, text || '<EOS><BOS>' AS text FROM documents)",
+        sql.words(extra="marked"),
+        sql.training(MERGES),
+        sql.encoded("marked"),
+    )
+    + " SELECT doc_id, ids, 0 AS specials, TRUE AS same FROM encoded",
+)
 def q_literal_specials(spark, sf_dir):
     """Names of special tokens in a text are ordinary text."""
     docs = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("<EOS><BOS>")))
     model = trained(spark, sf_dir)
     special = F.filter("ids", lambda i: (i >= 256) & (i < model.layout.merges_start))
     return decode(encode(docs, model), model).select(
-        "doc_id", F.size(special).alias("specials"), (F.col("decoded") == F.col("text")).alias("same")
+        "doc_id",
+        joined(F.col("ids")).alias("ids"),
+        F.size(special).alias("specials"),
+        (F.col("decoded") == F.col("text")).alias("same"),
     )
 
 

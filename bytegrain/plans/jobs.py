@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from bytegrain.operators.encoding import encode, use_dictionary_of
 from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards
 from bytegrain.operators.splits import TRAIN_SHARE, assign_split, cut_split, token_table
 from bytegrain.operators.training import train
-from bytegrain.session import Stage
+from bytegrain.session import Stage, any_file
 from bytegrain.sources.artifact import load_model, save_model
 from bytegrain.sources.tables import (
     landed_documents,
@@ -36,11 +35,12 @@ def build_corpus(
 ) -> None:
     """Sample, trim, filter and write shards; documents already under `target` are left out.
 
-    `max_shards` caps the shards this run adds.
+    `max_shards` caps the shards this run adds. Shards written with another key are an error.
     """
     kept = prepare_corpus(docs.select(key, "text"), fraction, min_chars, seed, key)
-    landed = _landed(docs.sparkSession, target, key)
-    if landed is not None:
+    spark = docs.sparkSession
+    if any_file(spark, f"{target}/shard_id=*"):
+        landed = landed_documents(spark, target, key)
         sharded = resume_shards(kept, landed, shard_size, key, max_shards)
     else:
         sharded = assign_shards(kept, shard_size, key)
@@ -48,13 +48,6 @@ def build_corpus(
     write_shards(sharded, target)
 
 
-def _landed(spark: SparkSession, target: str, key: str) -> DataFrame | None:
-    try:
-        return landed_documents(spark, target, key)
-    except AnalysisException:
-        return None  # nothing written yet
-
-
 def train_tokenizer(
     spark: SparkSession,
     shards: str,
@@ -87,7 +80,7 @@ def encode_corpus(
     shards: str,
     artifact: str,
     target: str,
-    pattern: str = "cl100k",
+    pattern: str | None = None,
     add_special: bool = False,
     train_share: float = TRAIN_SHARE,
     by_offset: bool = False,
@@ -95,7 +88,8 @@ def encode_corpus(
     key: str = "doc_id",
 ) -> None:
     """Encode all shards into a token table split into training and validation data: by
-    document, or with `by_offset` at one position of the whole flat array."""
+    document, or with `by_offset` at one position of the whole flat array. The pattern is the
+    artifact's own unless one is given."""
     docs = read_shards(spark, shards).select(key, "text")
     model = use_dictionary_of(docs, load_model(spark, artifact, pattern))
     coded = encode(docs, model, add_special=add_special).select(key, "ids")

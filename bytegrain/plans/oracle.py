@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from bytegrain.functions.text import STR_SPACE_CHARS, UNICODE_SPACE
-from bytegrain.model import LAYOUTS
+# Fixed values, written out here so that a slip in the package can't hide: whitespace, the two
+# pre-token patterns in this dialect, and where the merges of each layout begin.
+UNICODE_SPACE = (
+    r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+STR_SPACE_CODES = (
+    *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288
+)
+MERGES_START = {"spec": 528, "compact": 260}
 
 # RE2 has no look-ahead. A marker before the last blank of every run that meets a
 # non-blank makes the run split where the look-ahead would; no test text holds U+E000.
@@ -38,7 +46,7 @@ def chunks(text: str, pattern: str = "cl100k") -> str:
 
 
 def stripped(text: str) -> str:
-    codes = " || ".join(f"chr({ord(c)})" for c in STR_SPACE_CHARS)
+    codes = " || ".join(f"chr({code})" for code in STR_SPACE_CODES)
     return f"trim({text}, {codes})"
 
 
@@ -93,7 +101,7 @@ words AS MATERIALIZED (
 
 def training(n_merges: int, layout: str = "spec", tie: str = "id") -> str:
     """CTEs `state` (tokens of every word after each step), `merged` and `final`."""
-    start = LAYOUTS[layout].merges_start
+    start = MERGES_START[layout]
     if tie == "id":
         carried, count, rank = "", "", "n DESC, pair"
     else:

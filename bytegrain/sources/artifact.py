@@ -1,11 +1,14 @@
 """The tokenizer artifact: one JSON object per file.
 
 Keys: vocab_size, special_tokens (name to id), vocab (id to base64 bytes), merges
-(ordered id pairs). The layout is recognised from the special tokens.
+(ordered id pairs), and pattern, which files of other writers may lack. The layout is
+recognised from the special tokens, or made from them and the stored vocabulary.
 """
 
 from __future__ import annotations
 
+from base64 import b64decode
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from bytegrain.model import LAYOUTS, BpeModel, Layout
 
 ARTIFACT_SCHEMA = (
     "vocab_size int, special_tokens map<string,int>, "
-    "vocab map<string,string>, merges array<array<int>>"
+    "vocab map<string,string>, merges array<array<int>>, pattern string"
 )
 
 
@@ -38,7 +41,9 @@ def artifact_table(spark: SparkSession, model: BpeModel) -> DataFrame:
     merges = model.merge_table(spark).agg(
         F.transform(ordered, lambda m: F.array(m["left"], m["right"])).alias("merges")
     )
-    return summary.withColumn("merges", merges.scalar())
+    return summary.withColumn("merges", merges.scalar()).withColumn(
+        "pattern", F.lit(model.pattern)
+    )
 
 
 def save_model(spark: SparkSession, model: BpeModel, path: str, mode: str = "errorifexists") -> None:
@@ -50,15 +55,36 @@ def load_artifact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTIFACT_SCHEMA).option("multiLine", True).json(path)
 
 
-def load_model(spark: SparkSession, path: str, pattern: str = "cl100k") -> BpeModel:
-    """Merge ids follow from the layout and the order of `merges`; the stored size is not used."""
-    row = load_artifact(spark, path).select("special_tokens", "merges").first()
-    layout = _layout_of(row.special_tokens)
-    return BpeModel(layout, pattern, [(left, right, None) for left, right in row.merges])
+def load_model(spark: SparkSession, path: str, pattern: str | None = None) -> BpeModel:
+    """Merge ids follow from the layout and the order of `merges`; the stored size is not used.
+
+    The pattern is the stored one; `pattern` stands in for files without one (cl100k if
+    neither is known), and must agree with a stored one.
+    """
+    row = load_artifact(spark, path).first()
+    if pattern is not None and row.pattern not in (None, pattern):
+        raise ValueError(f"the artifact was trained with pattern {row.pattern!r}, not {pattern!r}")
+    layout = _layout_of(row.special_tokens or {}, row.vocab or {}, len(row.merges))
+    merges = [(left, right, None) for left, right in row.merges]
+    return BpeModel(layout, row.pattern or pattern or "cl100k", merges)
 
 
-def _layout_of(specials: dict[str, int]) -> Layout:
+def _layout_of(specials: dict[str, int], vocab: dict[str, str], n_merges: int) -> Layout:
     for layout in LAYOUTS.values():
         if specials == {name: layout.special_id(name) for name in layout.specials}:
             return layout
-    raise ValueError(f"no known layout has the special tokens {specials}")
+    return _stored_layout(specials, {int(i): b64decode(b) for i, b in vocab.items()}, n_merges)
+
+
+def _stored_layout(specials: dict[str, int], vocab: dict[int, bytes], n_merges: int) -> Layout:
+    """The layout of a file with special tokens of its own: bytes, perhaps bytes again as
+    fallback, the special tokens without a gap, perhaps reserved ids, then merges."""
+    names = sorted(specials, key=specials.get)
+    start = specials[names[0]] if names else 256
+    fallback = 256 if all(vocab.get(256 + i) == bytes([i]) for i in range(256)) else None
+    merges_start = max(vocab, default=-1) + 1 - n_merges
+    reserved = merges_start - start - len(names)
+    dense = [specials[name] for name in names] == list(range(start, start + len(names)))
+    if not dense or reserved < 0 or start != (256 if fallback is None else 512):
+        raise ValueError(f"no layout fits the special tokens {specials} and the stored vocabulary")
+    return Layout("stored", start, tuple(names), reserved, fallback)

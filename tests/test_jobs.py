@@ -3,9 +3,10 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from bytegrain.model import COMPACT, BpeModel
+from bytegrain.model import COMPACT, BpeModel, Layout
 from bytegrain.operators.decoding import decode
 from bytegrain.operators.encoding import encode
 from bytegrain.plans.jobs import build_corpus, encode_corpus, train_tokenizer
@@ -20,7 +21,7 @@ def docs_of(spark, texts, start=0):
 
 
 def texts(n, seed=0):
-    return [f" Document {seed + i} says: hello world, hello again & again. " * 3 for i in range(n)]
+    return [f" Document {seed + i} tells of rain, of more rain & of sun. " * 3 for i in range(n)]
 
 
 def test_artifact_shape_and_reload(spark, tmp_path):
@@ -29,6 +30,7 @@ def test_artifact_shape_and_reload(spark, tmp_path):
     (part,) = (tmp_path / "a").glob("part-*")
     data = json.loads(part.read_text())
     assert data["vocab_size"] == 262 and data["merges"] == [[104, 105], [260, 33]]
+    # Keys of the format, ids of the special tokens.
     assert data["special_tokens"] == {"<PAD>": 256, "<BOS>": 257, "<EOS>": 258, "<UNK>": 259}
     assert base64.b64decode(data["vocab"]["261"]) == b"hi!" and len(data["vocab"]) == 262
     loaded = load_model(spark, str(tmp_path / "a"))
@@ -36,6 +38,36 @@ def test_artifact_shape_and_reload(spark, tmp_path):
     assert loaded.layout == COMPACT and loaded.vocab_rows == model.vocab_rows
 
 
+def test_pattern_and_specials_of_the_artifact(spark, tmp_path):
+    save_model(spark, BpeModel(COMPACT, "legacy", [(104, 105, 3)]), str(tmp_path / "a"))
+    assert load_model(spark, str(tmp_path / "a")).pattern == "legacy"
+    with pytest.raises(ValueError):
+        load_model(spark, str(tmp_path / "a"), "cl100k")
+    for layout in (
+        Layout("own", 256, ("<A>", "<B>", "<C>"), 2),
+        Layout("own", 512, ("<Z>", "<UNK>"), 0, 256),
+    ):
+        model = BpeModel(layout, "cl100k", [(104, 105, 3), (layout.merges_start, 33, 1)])
+        path = str(tmp_path / f"own{layout.special_start}")
+        save_model(spark, model, path)
+        loaded = load_model(spark, path)
+        assert loaded.vocab_rows == model.vocab_rows
+        ids = [layout.merges_start + 1, layout.special_start]
+        (row,) = decode(
+            spark.createDataFrame([(ids,)], "ids array<int>"), loaded, skip_special=False
+        ).collect()
+        assert row.decoded == "hi!" + layout.specials[0]
+
+
+def test_resume_needs_the_same_key(spark, tmp_path):
+    shards = str(tmp_path / "shards")
+    docs = docs_of(spark, texts(5))
+    build_corpus(docs, shards, min_chars=20)
+    with pytest.raises(AnalysisException):
+        build_corpus(docs.withColumnRenamed("doc_id", "page_id"), shards, min_chars=20, key="page_id")
+    assert spark.read.parquet(shards).count() == 5
+
+
 def test_indented_artifact_and_wrong_size_load(spark, tmp_path):
     data = {
         "vocab_size": 7,

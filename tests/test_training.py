@@ -90,7 +90,7 @@ def test_rounds_equal_one_merge_at_a_time(spark, tie, max_chains):
 
 
 def test_several_merges_per_round(spark):
-    text = "hello world hello world hello world " * 50
+    text = "river stone over river stone under " * 50
     model = train(corpus_words(spark, [text]), 528 + 8)
     assert len(model.merges) == 8 and model.rounds < 8
 
