@@ -36,6 +36,7 @@ from bytegrain.session import Stage
 
 MAX_CHAINS = 8192
 MAX_HOT = 1024
+MAX_CHAIN = 1 << 14  # tokens; with a longer chain the hot set is halved as with too many
 
 
 def train(
@@ -55,7 +56,9 @@ def train(
         raise ValueError(f"tie must be 'id' or 'first', not {tie!r}")
     wanted = check_vocab_size(layout, vocab_size or DEFAULT_VOCAB_SIZE[layout.name])
     columns = ["chunk", "freq"] + (["first"] if tie == "first" else [])
-    source = Stage(words.select(*columns), "words")
+    # Rounds cost far more than their bytes tell, so the count of tasks is set, not coalesced.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = Stage(words.select(*columns).repartition(parts), "words")
     state, stage = token_table(source.df), None
     model = BpeModel(layout, pattern, [], source.df.select("chunk", "freq"))
     hot_size = 32
@@ -95,8 +98,11 @@ def train(
 def _collect_chains(state: DataFrame, hot: list[Row], max_chains: int) -> list[Row] | None:
     if len(hot) == 1:
         return None
-    rows = pair_chains(state, [r.pair for r in hot]).limit(max_chains + 1).collect()
-    return rows if len(rows) <= max_chains else None
+    chains = pair_chains(state, [r.pair for r in hot])
+    short = F.when(F.length("chain") <= MAX_CHAIN, F.col("chain"))
+    rows = chains.withColumn("chain", short).limit(max_chains + 1).collect()
+    fits = len(rows) <= max_chains and all(r.chain is not None for r in rows)
+    return rows if fits else None
 
 
 def _pick(

@@ -13,7 +13,7 @@ from bytegrain.operators.encoding import encode, use_dictionary_of
 from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards
 from bytegrain.operators.splits import TRAIN_SHARE, assign_split, cut_split, token_table
 from bytegrain.operators.training import train
-from bytegrain.session import Stage, any_file
+from bytegrain.session import Stage, any_file, scratch
 from bytegrain.sources.artifact import load_model, save_model
 from bytegrain.sources.tables import (
     landed_documents,
@@ -37,15 +37,16 @@ def build_corpus(
 
     `max_shards` caps the shards this run adds. Shards written with another key are an error.
     """
-    kept = prepare_corpus(docs.select(key, "text"), fraction, min_chars, seed, key)
-    spark = docs.sparkSession
-    if any_file(spark, f"{target}/shard_id=*"):
-        landed = landed_documents(spark, target, key)
-        sharded = resume_shards(kept, landed, shard_size, key, max_shards)
-    else:
-        sharded = assign_shards(kept, shard_size, key)
-        sharded = sharded if max_shards is None else cap_shards(sharded, max_shards)
-    write_shards(sharded, target)
+    with scratch():
+        kept = prepare_corpus(docs.select(key, "text"), fraction, min_chars, seed, key)
+        spark = docs.sparkSession
+        if any_file(spark, f"{target}/shard_id=*"):
+            landed = landed_documents(spark, target, key)
+            sharded = resume_shards(kept, landed, shard_size, key, max_shards)
+        else:
+            sharded = assign_shards(kept, shard_size, key)
+            sharded = sharded if max_shards is None else cap_shards(sharded, max_shards)
+        write_shards(sharded, target)
 
 
 def train_tokenizer(
@@ -62,17 +63,18 @@ def train_tokenizer(
     """Train on all shards and save the artifact. With `joined`, the blank lines between
     the documents of a shard are training text too."""
     pattern_text(pattern)
-    docs = read_shards(spark, shards)
-    order = key if tie == "first" else None
-    if joined:
-        last = docs.groupBy("shard_id").agg(F.max(key).alias("_last"))
-        marked = docs.join(last, "shard_id").withColumn("shard_last", F.col(key) == F.col("_last"))
-        words = word_freq_joined(marked, pattern, order=order)
-    else:
-        words = word_freq(docs, pattern, order=order)
-    model = train(words, vocab_size, layout, pattern, tie)
-    save_model(spark, model, artifact)
-    return model
+    with scratch():
+        docs = read_shards(spark, shards)
+        order = key if tie == "first" else None
+        if joined:
+            last = docs.groupBy("shard_id").agg(F.max(key).alias("_last"))
+            marked = docs.join(last, "shard_id").withColumn("shard_last", F.col(key) == F.col("_last"))
+            words = word_freq_joined(marked, pattern, order=order)
+        else:
+            words = word_freq(docs, pattern, order=order)
+        model = train(words, vocab_size, layout, pattern, tie)
+        save_model(spark, model, artifact)
+    return BpeModel(model.layout, model.pattern, model.merges, rounds=model.rounds)
 
 
 def encode_corpus(
@@ -90,16 +92,15 @@ def encode_corpus(
     """Encode all shards into a token table split into training and validation data: by
     document, or with `by_offset` at one position of the whole flat array. The pattern is the
     artifact's own unless one is given."""
-    docs = read_shards(spark, shards).select(key, "text")
-    model = use_dictionary_of(docs, load_model(spark, artifact, pattern))
-    coded = encode(docs, model, add_special=add_special).select(key, "ids")
-    if by_offset:
-        coded = coded.withColumn("split", F.lit("all"))
-    else:
-        coded = assign_split(coded, train_share, seed, key)
-    stage = Stage(coded, "coded")
-    tokens = token_table(stage.df, key)
-    if by_offset:
-        tokens = cut_split(tokens.drop("split"), train_share)
-    write_token_table(tokens, target)
-    stage.drop()
+    with scratch():
+        docs = read_shards(spark, shards).select(key, "text")
+        model = use_dictionary_of(docs, load_model(spark, artifact, pattern))
+        coded = encode(docs, model, add_special=add_special).select(key, "ids")
+        if by_offset:
+            coded = coded.withColumn("split", F.lit("all"))
+        else:
+            coded = assign_split(coded, train_share, seed, key)
+        tokens = token_table(Stage(coded, "coded").df, key)
+        if by_offset:
+            tokens = cut_split(tokens.drop("split"), train_share)
+        write_token_table(tokens, target)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,31 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="bytegrain-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+_scopes: list[list[Stage]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drop all tables staged inside when the block ends, also by an error.
+
+    For jobs that write their result; a lazy result still reads its staged tables.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for stage in _scopes.pop():
+            stage.drop()
+
+
 class Stage:
     """A table written to the shared folder and read back with a one-step lineage."""
 
@@ -34,6 +54,8 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{shared_root(self.spark)}/bytegrain/{name}-{uuid.uuid4().hex}"
         self._schema = df.schema
+        if _scopes:
+            _scopes[-1].append(self)
         df.write.mode("errorifexists").parquet(self.path)
 
     @property

@@ -108,9 +108,13 @@ def test_corpus_to_tokens(spark, tmp_path, by_offset, joined):
     build_corpus(docs_of(spark, texts(30)), shards, min_chars=20, shard_size=8)
     landed = spark.read.parquet(shards)
     assert landed.count() == 30 and landed.select("doc_id").distinct().count() == 30
+    staged = Path(spark.conf.get("spark.checkpoint.dir")) / "bytegrain"
+    before = set(staged.glob("*"))
     trained = train_tokenizer(spark, shards, model_path, 560, joined=joined)
     assert trained.vocab_size == 560
     encode_corpus(spark, shards, model_path, tokens, by_offset=by_offset)
+    build_corpus(docs_of(spark, texts(4, 90), 90), shards, min_chars=20, shard_size=8)
+    assert set(staged.glob("*")) == before
     table = read_token_table(spark, tokens)
     assert {r.split for r in table.select("split").distinct().collect()} == {"train", "val"}
     if not by_offset:
