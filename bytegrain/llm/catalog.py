@@ -15,7 +15,7 @@ from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.lm_scoring import score_documents
 from bytegrain.llm.mixing import cyclic_weights, mix
-from bytegrain.llm.quality_rules import line_first_quality
+from bytegrain.llm.quality_rules import BOILERPLATE, MENU, line_first_quality
 from bytegrain.llm.substring_dedup import remove_repeats
 from bytegrain.llm.token_counts import token_counts
 from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
@@ -159,7 +159,36 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_jaccard_join")
+JACCARD_ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other
+)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op6_jaccard_join", JACCARD_ORACLE)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -221,7 +250,58 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_quality_rules")
+QUALITY_ORACLE = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts)
+), often AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FROM windows
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM often, range(8) t(k) WHERE times > 1 GROUP BY doc_id
+), split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM texts
+), lines AS (
+  SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS visible,
+         regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS copy
+  FROM split
+), judged AS (
+  SELECT doc_id, visible, copy > 1 AS again, copy > 1
+    OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.1::DOUBLE * visible
+    OR len(list_filter(lw, lambda x: regexp_matches(x, '[!?]{2,}$'))) > 0.3::DOUBLE * len(lw)
+    OR len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) > 0.5::DOUBLE * len(lw)
+    OR len(regexp_extract_all(regexp_replace(line, '([ \t])', '\1\1', 'g'), '[ \t][|>»›·•][ \t]')) >= 3
+    OR (len(lw) <= 4 AND regexp_full_match(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'MENU', 'i'))
+    OR regexp_matches(line, 'BOILERPLATE', 'i') AS fails
+  FROM lines WHERE visible > 0
+), cleaned AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (fails) AS lines_removed,
+         coalesce(sum(visible) FILTER (fails), 0) AS chars_removed
+  FROM judged GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(lines_removed, 0) AS BIGINT) AS lines_removed,
+         CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed
+  FROM texts LEFT JOIN cleaned USING (doc_id) LEFT JOIN repeated USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT base_failed AND chars_removed <= 0.5 * word_chars AS kept
+FROM counted
+""".replace("MENU", MENU.pattern.removesuffix(r"\Z")).replace("BOILERPLATE", BOILERPLATE.pattern)
+
+
+@query("op9_quality_rules", QUALITY_ORACLE)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 

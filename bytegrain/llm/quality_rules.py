@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ BOILERPLATE = re.compile(
 
 SYMBOL_SHARE = 0.1  # of the visible characters of a line
 SHOUT_SHARE = 0.3  # of the words of a line
+STUTTER_SHARE = 0.5  # of the words of a line, equal to the word before
 SEPARATORS = 3  # in a line
 LOST_SHARE = 0.5  # of the visible characters of a document
 WINDOW = 8
@@ -44,15 +46,17 @@ LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 
 
-def line_fails(line: str, words: int, visible: int) -> bool:
+def line_fails(line: str, words: list[str], visible: int) -> bool:
     """Punctuation, navigation and boilerplate rules; a line has at least one word."""
     if sum(map(line.count, SYMBOLS)) > SYMBOL_SHARE * visible:
         return True
-    if ("!!" in line or "?" in line) and len(SHOUT.findall(line)) > SHOUT_SHARE * words:
+    if ("!!" in line or "?" in line) and len(SHOUT.findall(line)) > SHOUT_SHARE * len(words):
+        return True
+    if sum(map(eq, words, words[1:])) > STUTTER_SHARE * len(words):
         return True
     if len(SEPARATOR.findall(line)) >= SEPARATORS:
         return True
-    if words <= 4 and MENU.match(line.strip(SPACES)):
+    if len(words) <= 4 and MENU.match(line.strip(SPACES)):
         return True
     return BOILERPLATE.search(line) is not None
 
@@ -72,7 +76,7 @@ def clean_lines(text: str) -> tuple[str, int, int, int]:
             again = line in seen
             repeated += again
             seen.add(line)
-            words = len(WORD.findall(line))
+            words = WORD.findall(line)
             if again or line_fails(line, words, visible):
                 removed += 1
                 lost += visible
@@ -121,9 +125,9 @@ def line_first_quality(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Returns (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, cleaned, lines_removed, chars_removed). A line fails if more than a tenth of its
-    visible characters are symbols, more than 3 in 10 words are shouted, it holds three menu
-    separators, it is a short menu entry, it holds a boilerplate phrase, or it repeats an
-    earlier line. A document is kept if it passes the base rules and its failed lines held at
+    visible characters are symbols, more than 3 in 10 words are shouted, more than half of its
+    words repeat the word before, it holds three menu separators, it is a short menu entry, it
+    holds a boilerplate phrase, or it repeats an earlier line. A document is kept if it passes the base rules and its failed lines held at
     most half of its visible characters. Null and empty texts have no words and are not kept.
     Rows with null or repeated keys are kept apart, other columns are not read. Narrow.
     """

@@ -66,6 +66,7 @@ def test_lines(spark):
         "twice": (f"{GOOD}\n{other}\n{GOOD[:27]}\n{GOOD[:27]}", True, f"{GOOD}\n{other}\n{GOOD[:27]}"),
         "signs": (GOOD.replace(" ", " %%% ") + f"\n{other[:40]}", False, other[:40]),
         "shout": (GOOD.replace(" ", "!! ") + f"\n{other[:40]}", False, other[:40]),
+        "stutter": (" ".join(w for w in GOOD.split() for _ in range(4)) + f"\n{other[:40]}", False, other[:40]),
         "question": (f"{GOOD}??\n{other}!!", True, f"{GOOD}??\n{other}!!"),
     }
     docs = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id string, text string")
