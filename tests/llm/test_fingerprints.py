@@ -31,10 +31,12 @@ def printed(text, known):
     for level in range(6):
         held = [h for h in hashes if (h >> 8) & ((1 << 2 * level) - 1) == 0]
         for subset in range(32):
-            seed, found = 42, [h for h in held if h & 31 == subset]
+            group, part = divmod(subset, 4)
+            seed, found = 42, [h for h in held if h & 7 == group and h >> 3 & 3 == part]
             for h in found:
                 seed = xxhash.xxh64_intdigest((h & (1 << 64) - 1).to_bytes(8, "little"), seed)
-            out.append("--" if not found or len(held) > 256 else f"{seed & 255:02X}")
+            empty = not found or len(held) > 256
+            out.append("00" if empty else f"{1 + signed(seed) % 255:02X}")
     return "".join(out)
 
 
@@ -44,7 +46,7 @@ def near(a, b):
     best = 0.0
     for level in range(6):
         pairs = [(a[i : i + 2], b[i : i + 2]) for i in range(64 * level, 64 * level + 64, 2)]
-        filled = [p for p in pairs if p != ("--", "--")]
+        filled = [p for p in pairs if p != ("00", "00")]
         if len(filled) >= (8 if level else 1):
             best = max(best, sum(x == y for x, y in filled) / len(filled))
     return best
