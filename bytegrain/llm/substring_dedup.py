@@ -86,7 +86,7 @@ def runs(text: np.ndarray, ends: np.ndarray, powers: Powers, length: int, gram:
     least_at = np.flatnonzero((greatest[: len(grams)] == grams) & (grams != 0))
     order = np.lexsort((least_at, grams[least_at]))
     at, value = least_at[order], grams[least_at][order]
-    close = (value[1:] == value[:-1]) & (at[1:] - at[:-1] < width)
+    close = (value[1:] == value[:-1]) & (at[1:] - at[:-1] <= width)
     again = np.unique(value[1:][close])
     changes = np.append(True, (names[1:] != names[:-1]) | (document[1:] != document[:-1]))
     first = np.flatnonzero(valid & (changes | np.append(True, ~valid[:-1])))

@@ -111,6 +111,18 @@ def test_long_strings(spark):
     assert got(spark, rows) == brute(rows, 400)
 
 
+@pytest.mark.parametrize("length, gram", [(14, 5), (400, 64)])
+def test_blocks_as_long_as_a_name_reaches(spark, length, gram):
+    rng = random.Random(length)
+    rows = []
+    for i, size in enumerate(range(length - gram - 1, length - gram + 5)):
+        block = "".join(rng.choices("abcdefghijklmnop", k=size - 1)) + "\n"
+        rows += [(i, block * 3), (10 + i, "x" + block.upper() * 5 + "y")]
+    want = brute(rows, length)
+    assert all(spans for _, _, spans, _ in want)
+    assert got(spark, rows, length=length, gram=gram) == want
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, None)]) == [(1, 0, [], b"")]
