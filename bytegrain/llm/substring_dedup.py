@@ -277,7 +277,16 @@ def hot_repeats(contents: DataFrame, length: int) -> DataFrame:
     return rows.join(often, "window").selectExpr("name", "content", "low", "low + 1 AS high")
 
 
-def remove_spans(docs: DataFrame) -> DataFrame:
+def whole_signs(raw: bytes, low: int, high: int) -> tuple[int, int]:
+    """A span of UTF-8 bytes, widened to the borders of the signs that it cuts."""
+    while 0 < low < len(raw) and raw[low] & 0xC0 == 0x80:
+        low -= 1
+    while high < len(raw) and raw[high] & 0xC0 == 0x80:
+        high += 1
+    return low, high
+
+
+def remove_spans(docs: DataFrame, signs: bool) -> DataFrame:
     """Mark the bytes that `spans` cover: (_key, n_bytes, spans, kept)."""
     pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -287,7 +296,8 @@ def remove_spans(docs: DataFrame) -> DataFrame:
             for text, found in zip(batch.column("_text"), batch.column("spans")):
                 raw = (text.as_py() or "").encode()
                 merged: list[list[int]] = []
-                for span in sorted((s["low"], s["high"]) for s in found.as_py() or ()):
+                ordered = sorted((s["low"], s["high"]) for s in found.as_py() or ())
+                for span in (whole_signs(raw, *s) for s in ordered) if signs else ordered:
                     if merged and span[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], span[1])
                     else:
@@ -338,13 +348,15 @@ def remove_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     hot: int = HOT_RUNS,
+    signs: bool = False,
 ) -> DataFrame:
     """Remove every byte that a string of `length` bytes covers which also starts elsewhere.
 
     Returns (key, n_bytes, spans, kept) with a row for each row: the removed spans of bytes and
     the remaining bytes. Texts are UTF-8 bytes, null is empty; strings lie within one text and
     are judged on the input. Other columns are not read. Rows with equal key and text are
-    copies of each other, as any two equal texts are. An empty table gives no rows.
+    copies of each other, as any two equal texts are. An empty table gives no rows. With `signs`
+    the removed spans take in signs that they would cut, so what is kept is UTF-8 again.
 
     1. A window of `length` bytes is named by the least hash of the strings of `gram` bytes
        inside. Neighbours mostly share names, so texts become runs of some 170 starts. Equal
@@ -398,4 +410,4 @@ def remove_repeats(
         )
     )
     marked = texts.join(spans, ["_row", "_alt"], "left")
-    return remove_spans(marked).withColumnRenamed("_key", key)
+    return remove_spans(marked, signs).withColumnRenamed("_key", key)

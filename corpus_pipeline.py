@@ -58,12 +58,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 400 bytes that occur elsewhere.
 
-    What is left of a sign that a removal cut apart goes, too; `n_chars` is counted anew.
+    What is left of a sign that a removal cut apart goes, too, and nothing else: texts without
+    such strings stay as they are. `n_chars` is counted anew.
     """
     others = docs.withColumn("_others", _row(docs, "text", "n_chars"))
-    kept = remove_repeats(others, key="_others")
-    whole = F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\\ufffd', '')")
-    return kept.select("_others.*", whole.alias("text")).select(
+    kept = remove_repeats(others, key="_others", signs=True)
+    return kept.select("_others.*", F.col("kept").cast("string").alias("text")).select(
         *[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns]
     )
 

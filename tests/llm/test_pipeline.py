@@ -111,3 +111,28 @@ def test_stages_handle_odd_rows(spark):
         assert empty.count() == 0
         if name == "near_copies":
             assert sorted(r.doc_id for r in docs.where("doc_id > 1").collect()) == [2, 4, 5]
+
+
+def test_replacement_signs_stay(spark):
+    passage = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(150))
+    rows = [
+        (1, "read \ufffd as it was \ufffd"),
+        (2, "\ufffd" + "é" + passage + "à\ufffd"),
+        (3, "\ufffdè" + passage + "á"),
+        (4, "x" * 399 + "\ufffd"),
+        (5, "é" + "\ufffd" * 140 + "ab\ufffd" + "c"),
+        (6, "ĩ" + "\ufffd" * 140 + "ad\ufffd" + "c"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'a' AS source", "CAST(length(text) AS bigint) AS n_chars"
+    )
+    after = {r.doc_id: r for r in cp.repeated_passages(spark, docs, SF_DIR).collect()}
+    assert {key: r.text for key, r in after.items()} == {
+        1: rows[0][1],
+        2: "\ufffdé\ufffd",
+        3: "\ufffdè",
+        4: rows[3][1],
+        5: "b\ufffdc",
+        6: "d\ufffdc",
+    }
+    assert all(r.n_chars == len(r.text) for r in after.values())
