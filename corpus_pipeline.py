@@ -17,7 +17,7 @@ from bytegrain.session import Stage
 
 TOXIC = 0.7
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-BROADCAST_IDS = 2_000_000  # ids of 8 bytes
+BROADCAST_ROWS = 1_000_000  # two hashes of 8 bytes each
 WEIGHTS = (5, 2, 1)
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,24 +35,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the document with the least id; without ids, all.
+    """Of each group of linked texts the row with the least id; rows without id come last.
 
-    Rows that repeat both id and text are copies, too; one of them stays.
+    Rows are told apart by id and text, so it doesn't matter whether ids are unique. Rows that
+    repeat both are copies, too; one of them stays.
     """
+    flags = F.isnull("doc_id"), F.isnull("text")
+    hashes = F.xxhash64("doc_id", "text", *flags), F.xxhash64(F.lit(7), "text", "doc_id", *flags)
+    rows = docs.select("*", hashes[0].alias("_one"), hashes[1].alias("_two"))
+    keyed = rows.select(F.struct(flags[0].alias("_last"), "doc_id", "_one", "_two").alias("_row"), "text")
     found = Stage(
-        jaccard_components(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "components"
+        jaccard_components(keyed, key="_row", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT),
+        "components",
     ).df
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if gone.count() <= BROADCAST_IDS:
+    gone = found.where("_row <> component_id").select("_row._one", "_row._two").distinct()
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count()
-    twice = Stage(twice.where("count > 1").select("_twice"), "repeated-ids").df
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    again = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    kept = rows.join(gone, ["_one", "_two"], "left_anti")
+    twice = found.select("_row._one", "_row._two").groupBy("_one", "_two").count()
+    twice = Stage(twice.where("count > 1").select("_one", "_two"), "repeated-rows").df
+    if not twice.isEmpty():
+        once = kept.join(twice, ["_one", "_two"], "left_anti")
+        again = kept.join(twice, ["_one", "_two"], "left_semi")
+        kept = once.unionByName(again.dropDuplicates(["_one", "_two"]))
+    return kept.drop("_one", "_two")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,3 +136,35 @@ def test_replacement_signs_stay(spark):
         6: "d\ufffdc",
     }
     assert all(r.n_chars == len(r.text) for r in after.values())
+
+
+def test_near_copies_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [
+        (1, a, "x"),
+        (2, a.upper(), "x"),  # a copy of 1 that shares its id with b
+        (2, b, "x"),
+        (3, b + " more", "y"),  # a near copy of b
+        (4, c, "x"),  # near copies that share an id
+        (4, c + " more", "x"),
+        (None, d, "x"),  # near copies without id
+        (None, d + " more", "x"),
+        (None, e, "x"),
+        (9, e, "y"),
+        (None, "alone", None),
+        (7, "twice " + a[::-1], "x"),  # equal rows
+        (7, "twice " + a[::-1], "x"),
+        (8, None, "x"),
+        (8, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = cp.near_copies(spark, docs.repartition(3), SF_DIR)
+    assert kept.columns == docs.columns
+    left = [tuple(r) for r in kept.collect()]
+    assert set(left) <= set(rows)
+    for group in (rows[:2], rows[2:4], rows[9:10], rows[10:11], rows[11:12], rows[13:14], rows[14:15]):
+        assert left.count(group[0]) == 1
+        assert all(row not in left for row in group[1:])
+    assert rows[8] not in left
+    assert sum(r in left for r in rows[4:6]) == sum(r in left for r in rows[6:8]) == 1
+    assert len(left) == 9
