@@ -13,7 +13,7 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.05
 LEXICON_BUCKETS = 1 << 14
 LEVELS = 6  # the subsets of a level are a quarter of those before
 SUBSETS = 32  # of a level
-LEVEL_TERMS = 256  # a level that keeps more terms of a document is left out for it
+LEVEL_TERMS = 256  # a level but the last that keeps more terms of a document is left out for it
 LEAST_TERMS = 8  # of the lexicon; texts with fewer are known by all of their words
 LEAST_FILLED = 8  # subsets that a level needs in order to be compared
 
@@ -55,6 +55,9 @@ def with_fingerprint(df: DataFrame, text: str, known: Column, name: str) -> Data
     lexicon (a residue of term hashes, thinned by level) gives two hexadecimal digits for the
     terms that it keeps, or '00' if it keeps none. Terms are dealt to 8 groups and then to 4
     subsets of each, which touches a term 12 times instead of 32.
+
+    The last level has no limit. A text of which it keeps more than LEVEL_TERMS has left the
+    levels before it empty, and has levels with still fewer terms in their places.
     """
     inside = F.filter(
         "_words", lambda w: F.coalesce(F.array_contains(F.get("_known", _place(w)), w), F.lit(False))
@@ -69,21 +72,26 @@ def with_fingerprint(df: DataFrame, text: str, known: Column, name: str) -> Data
         .withColumn("_hashes", F.transform(F.sort_array(terms), lambda t: F.xxhash64(t)))
         .drop("_words", "_terms")
     )
-    digits = []
     for level in range(LEVELS):
         above = f"_level_{level - 1}" if level else "_hashes"
         thinned = f"filter({above}, x -> (shiftright(x, 8) & {(1 << 2 * level) - 1}) = 0)"
         thinned = thinned if level else above
         found = found.withColumn(f"_level_{level}", F.expr(thinned))
-        group = f"filter(_level_{level}, x -> (x & 7) = g)"
-        subset = "filter(q, x -> (shiftright(x, 3) & 3) = k)"
-        digit = "if(size(f) = 0, '00', lpad(hex(1 + pmod(xxhash64(f), 255)), 2, '0'))"
-        inner = f"transform(sequence(0, 3), k -> transform(array({subset}), f -> {digit})[0])"
-        each = f"transform(sequence(0, 7), g -> transform(array({group}), q -> array_join({inner}, ''))[0])"
-        none = "00" * SUBSETS
-        digits.append(
-            F.expr(f"if(size(_level_{level}) > {LEVEL_TERMS}, '{none}', array_join({each}, ''))")
-        )
+    group = "filter(a, x -> (x & 7) = g)"
+    subset = "filter(q, x -> (shiftright(x, 3) & 3) = k)"
+    digit = "if(size(f) = 0, '00', lpad(hex(1 + pmod(xxhash64(f), 255)), 2, '0'))"
+    inner = f"transform(sequence(0, 3), k -> transform(array({subset}), f -> {digit})[0])"
+    each = f"transform(sequence(0, 7), g -> transform(array({group}), q -> array_join({inner}, ''))[0])"
+    last = f"_level_{LEVELS - 1}"
+    none = "00" * SUBSETS
+    digits = []
+    for level in range(LEVELS):
+        held, joined = f"_level_{level}", f"array_join({each}, '')"
+        if held != last:
+            further = f"filter({last}, x -> (shiftright(x, 8) & {(1 << 2 * (LEVELS + level)) - 1}) = 0)"
+            held = f"if(size({last}) > {LEVEL_TERMS}, {further}, {held})"
+            joined = f"if(size(a) > {LEVEL_TERMS}, '{none}', {joined})"
+        digits.append(F.expr(f"transform(array({held}), a -> {joined})[0]"))
     return found.withColumn(name, F.concat(*digits)).select(*kept, name)
 
 

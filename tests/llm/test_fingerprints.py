@@ -102,6 +102,17 @@ def test_copies_have_equal_fingerprints(spark):
     assert len(one) == 2 * fp.LEVELS * fp.SUBSETS
 
 
+def test_texts_of_very_many_words(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(300_000)) for x in "ab"]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(2, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    one, two, empty = fingerprint_edits(docs).orderBy("doc_id").collect()
+    assert len({one.fingerprint, two.fingerprint, one.edited_fingerprint, empty.fingerprint}) == 4
+    assert one.near_next < 0.1 and two.near_next < 0.1
+    assert one.near_edited > 0.15
+    assert set(empty.fingerprint) == {"0"} and len(one.fingerprint) == len(empty.fingerprint)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert fingerprint_edits(docs).collect() == []
