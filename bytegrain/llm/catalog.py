@@ -14,6 +14,7 @@ from bytegrain.llm.fingerprints import fingerprint_edits
 from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.lm_scoring import score_documents
+from bytegrain.llm.manifest import audit_rows
 from bytegrain.llm.mixing import cyclic_weights, mix
 from bytegrain.llm.quality_rules import BOILERPLATE, MENU, line_first_quality
 from bytegrain.llm.substring_dedup import remove_repeats
@@ -315,3 +316,74 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _crc32_sql(text: str) -> str:
+    """Expression: the unsigned CRC-32 of an ASCII text expression, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: unicode(ch)::BIGINT)"
+    byte = (
+        "list_reduce(list_prepend(xor(crc, code), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+    )
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, code: {byte}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    value = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    return f"sha256({' || '.join(value.format(c) for c in [*MANIFEST_FIELDS[:-1], text])})"
+
+
+_UP = """list_transform(range(0, (len(nodes) + 2) // 3),
+    lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"""
+_SIDES = """array_to_string(nodes[3 * (place // 3) + 1:place], '') AS lefts,
+    array_to_string(nodes[place + 2:3 * (place // 3) + 3], '') AS rights"""
+
+MANIFEST_ORACLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0
+              THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS found
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), trees(source, level, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY place) FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, {_UP} FROM trees WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source COLLATE "C" NULLS FIRST) - 1 AS place
+  FROM trees WHERE len(nodes) = 1
+), top(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT level + 1, {_UP} FROM top WHERE len(nodes) > 1
+), walks(doc_id, source, leaf, level, place, folded, proof) AS (
+  SELECT doc_id, source, leaf, 0, place, found, '' FROM placed
+  UNION ALL
+  SELECT doc_id, source, leaf, level + 1, place // 3, sha256(lefts || folded || rights), proof || lefts || rights
+  FROM (SELECT w.*, {_SIDES} FROM walks w
+        JOIN trees t ON t.source IS NOT DISTINCT FROM w.source AND t.level = w.level AND len(t.nodes) > 1)
+), ends AS (
+  SELECT w.* EXCLUDE (level, place), s.subroot, s.place FROM walks w
+  JOIN trees t ON t.source IS NOT DISTINCT FROM w.source AND t.level = w.level AND len(t.nodes) = 1
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM w.source
+), climbs(doc_id, leaf, subroot, level, place, folded, proof) AS (
+  SELECT doc_id, leaf, subroot, 0, place, folded, proof FROM ends
+  UNION ALL
+  SELECT doc_id, leaf, subroot, level + 1, place // 3, sha256(lefts || folded || rights), proof || lefts || rights
+  FROM (SELECT w.*, {_SIDES} FROM climbs w JOIN top t ON t.level = w.level AND len(t.nodes) > 1)
+)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = nodes[1] AS verified
+FROM climbs JOIN top t ON t.level = climbs.level AND len(t.nodes) = 1
+"""
+
+
+@query("op11_manifest", MANIFEST_ORACLE)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    joined = F.replace("text", F.lit("\n"), F.lit(""))
+    return audit_rows(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, {"text": joined}, even)
