@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.decontamination import contamination
 from bytegrain.llm.fingerprints import fingerprint_edits
 from bytegrain.llm.fixity import audit, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
@@ -387,3 +388,49 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     joined = F.replace("text", F.lit("\n"), F.lit(""))
     return audit_rows(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, {"text": joined}, even)
+
+
+_TEST_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+LEAK_ORACLE = f"""
+WITH documents_words AS (
+  SELECT doc_id, {_TEST_WORDS} AS w FROM documents
+), item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_TEST_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS words
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM documents_words), sizes
+  WHERE i + size - 1 <= len(w)
+), met AS (
+  SELECT doc_id, i, p.size, item FROM places p JOIN windows USING (words, size)
+), hits AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM met, range(10) t(k) WHERE k < size GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit,
+       coalesce(named.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AS contaminated
+FROM documents_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op12_decontamination", LEAK_ORACLE)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
