@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
+from bytegrain.llm.conversations import repair_plan, repaired_digests
 from bytegrain.llm.decontamination import contamination
 from bytegrain.llm.fingerprints import fingerprint_edits
 from bytegrain.llm.fixity import audit, warc_record
@@ -21,6 +22,7 @@ from bytegrain.llm.quality_rules import BOILERPLATE, MENU, line_first_quality
 from bytegrain.llm.substring_dedup import remove_repeats
 from bytegrain.llm.token_counts import token_counts
 from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
+from bytegrain.session import Stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -434,3 +436,115 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, robbed of their sentence ends, repeated or given the role user, by a
+    rule of their conversation and turn. Null roles and texts become one space."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    place = F.concat(name("conv_id"), F.lit(":"), name("turn"))
+    fate = F.crc32(place.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    altered = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fate == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = rows.select("conv_id", "turn", role.alias("role"), altered.alias("text"), fate.alias("fate"), copies.alias("copies"))
+    return kept.where("fate <> 0").select("conv_id", "turn", "role", "text", F.explode_outer("copies").alias("copy")).drop("copy")
+
+
+def _edit(state: str, cost: str, edits: str) -> str:
+    """Expression: a state's least cost, eight digits, and audit after edits; null stays null."""
+    return f"(lpad(CAST(CAST({state}[1:8] AS INT) + {cost} AS VARCHAR), 8, '0') || {state}[9:] || '{edits}')"
+
+
+def _least(*parts: str) -> str:
+    return f"least({', '.join(parts)})"
+
+
+def _row_moves() -> str:
+    keep = lambda state, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_edit(state, 'extra', 'K')} END"
+    rerole = lambda state: f"CASE WHEN NOT gone THEN {_edit(state, '3 + extra', 'R')} END"
+    drop = lambda state: _edit(state, "4", "D")
+    opens = [f"e{i}" for i in (0, 1, 3)]
+    return ", ".join(
+        [
+            drop("e0"),
+            _least(drop("e1"), keep("e0", "s")),
+            _least(drop("e2"), *[keep(e, "u") for e in opens], *map(rerole, opens)),
+            _least(drop("e3"), keep("e2", "a"), rerole("e2")),
+        ]
+    )
+
+
+_INSERTED = f"""x0 AS e0, x1 AS e1,
+    {_least("x2", *[_edit(f"x{i}", "3", "I") for i in (0, 1, 3)])} AS e2,
+    {_least("x3", _edit("x2", "3", "I"), _edit("x0", "6", "II"), _edit("x1", "6", "II"))} AS e3"""
+
+REPAIR_ORACLE = rf"""
+WITH RECURSIVE original AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+    {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations
+), damaged AS (
+  SELECT conv, turn, CASE WHEN fate = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+         ELSE coalesce(text, ' ') END AS text
+  FROM original, range(2) t(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role COLLATE "C", md5(text)) AS i
+  FROM damaged
+), judged AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), rows AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra
+  FROM judged
+), counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM rows GROUP BY conv
+), states(conv, i, x0, x1, x2, x3) AS (
+  SELECT conv, 0::BIGINT, '00000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM counts
+  UNION ALL
+  SELECT conv, i, {_row_moves()}
+  FROM (SELECT s.conv, s.i + 1 AS i, {_INSERTED}, initial, gone, extra
+        FROM states s JOIN rows r ON r.conv = s.conv AND r.i = s.i + 1)
+), plans AS (
+  SELECT conv, least(x0, e3) AS best
+  FROM (SELECT s.conv, {_INSERTED}, x0 FROM states s JOIN counts c ON c.conv = s.conv AND c.n = s.i)
+), spelt AS (
+  SELECT conv, best[9:] AS audit, unnest(range(1, length(best) - 7)) AS j FROM plans
+), edits AS (
+  SELECT *, audit[j] AS edit, length(replace(audit[:j], 'I', '')) AS i,
+    length(replace(audit[:j], 'D', '')) - length(replace(audit, 'D', '')) % 2 AS place
+  FROM spelt
+), repaired AS (
+  SELECT e.conv, string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole
+  FROM edits e LEFT JOIN rows r ON r.conv = e.conv AND r.i = e.i AND edit <> 'I'
+  WHERE edit <> 'D' GROUP BY e.conv
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[1:8] AS BIGINT), 0) AS cost, coalesce(best[9:], '') AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM original) o
+LEFT JOIN counts USING (conv) LEFT JOIN plans USING (conv) LEFT JOIN repaired USING (conv)
+"""
+
+
+@query("op13_conversation_repair", REPAIR_ORACLE)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    rows = damaged_conversations(original)
+    plan = Stage(repair_plan(rows, ids=original), "repairs").df
+    digests = repaired_digests(rows, plan)
+    same = F.col("conv_id").eqNullSafe(F.col("_id"))
+    return plan.join(digests.select(F.col("conv_id").alias("_id"), F.col("sha256").alias("repaired_sha256")), same).drop("_id")
