@@ -4,7 +4,7 @@ from bytegrain.model import COMPACT, SPEC, BpeModel, Layout
 from bytegrain.operators.chunks import chunk_table, train_size, word_freq, word_freq_joined
 from bytegrain.operators.corpus import corpus_stats, prepare_corpus, sample_corpus
 from bytegrain.operators.decoding import decode
-from bytegrain.operators.encoding import encode, segment_chunks, use_dictionary_of
+from bytegrain.operators.encoding import encode, segment_by_rounds, segment_chunks
 from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards, shard_text
 from bytegrain.operators.splits import assign_split, cut_split, token_offsets, token_table
 from bytegrain.operators.training import train
@@ -31,6 +31,7 @@ __all__ = [
     "resume_shards",
     "sample_corpus",
     "save_model",
+    "segment_by_rounds",
     "segment_chunks",
     "shard_text",
     "token_offsets",
@@ -38,7 +39,6 @@ __all__ = [
     "train",
     "train_size",
     "train_tokenizer",
-    "use_dictionary_of",
     "word_freq",
     "word_freq_joined",
 ]

@@ -1,9 +1,10 @@
 """Column functions on token strings.
 
-A chunk's tokens are held as one string whose code points are the token ids, so
-a merge is the built-in `replace` and ids never leave the JVM. Ids stay below the
-surrogate range; `MAX_VOCAB` is that bound. Token strings may hold NUL and are
-for intermediate tables only; results carry id arrays.
+A chunk's tokens are held as one string with one sign for each token, so a merge is the
+built-in `replace` and ids never leave the JVM. The sign of an id is the code point of that
+number, or, since surrogates are no characters, of a number 2,048 higher from 55,296 up;
+`MAX_VOCAB` ids can be written so. Token strings may hold NUL and are for intermediate
+tables only; results carry id arrays.
 """
 
 from __future__ import annotations
@@ -13,12 +14,25 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_VOCAB = 0xD7FF
-BORDER = chr(MAX_VOCAB)  # marks cuts; no token has this id
+SURROGATES = 0xD800  # the first of them
+GAP = 0x800
+BORDER = chr(0x10FFFF)  # marks cuts; no token has this sign
+MAX_VOCAB = 0x10FFFF - GAP
 
 MERGE_LIST = "array<struct<pair:string,new:string>>"
 
 
+def sign(token_id: int) -> str:
+    """The sign of an id in a token string."""
+    return chr(token_id if token_id < SURROGATES else token_id + GAP)
+
+
+def sign_id(sign: Column) -> Column:
+    """The id of the first sign of a string."""
+    code = F.ascii(sign)
+    return F.when(code < SURROGATES, code).otherwise(code - GAP)
+
+
 def byte_tokens(text: Column) -> Column:
     """Token string of a text's UTF-8 bytes, ids 0-255."""
     return F.decode(text.cast("binary"), "ISO-8859-1")
@@ -26,7 +40,7 @@ def byte_tokens(text: Column) -> Column:
 
 def token_ids(tokens: Column) -> Column:
     """Id array of a token string; empty for the empty string."""
-    return F.transform(F.array_remove(F.split(tokens, ""), ""), lambda c: F.ascii(c))
+    return F.transform(F.array_remove(F.split(tokens, ""), ""), sign_id)
 
 
 def adjacent_pairs(tokens: Column) -> Column:
@@ -35,11 +49,11 @@ def adjacent_pairs(tokens: Column) -> Column:
 
 
 def pair_left(pair: Column) -> Column:
-    return F.ascii(F.substring(pair, 1, 1))
+    return sign_id(F.substring(pair, 1, 1))
 
 
 def pair_right(pair: Column) -> Column:
-    return F.ascii(F.substring(pair, 2, 1))
+    return sign_id(F.substring(pair, 2, 1))
 
 
 def merge_literal(merges: list[tuple[str, str]]) -> Column:
@@ -51,43 +65,3 @@ def merge_literal(merges: list[tuple[str, str]]) -> Column:
 def apply_merges(tokens: Column, merges: Column) -> Column:
     """Apply merges in order; each replaces left to right without overlap."""
     return F.aggregate(merges, tokens, lambda acc, m: F.replace(acc, m["pair"], m["new"]))
-
-
-def cut_outside(tokens: Column, pairs: list[str]) -> Column:
-    """Pieces of a token string after cutting at every boundary whose pair is not listed."""
-    rights: dict[str, list[str]] = {}
-    for left, right in pairs:
-        rights.setdefault(left, []).append(right)
-    inside = "|".join(
-        f"(?<={_escape(left)})[{''.join(map(_escape, right))}]" for left, right in rights.items()
-    )
-    marked = F.regexp_replace(tokens, F.lit(f"(?s)(?<=.)(?=.)(?!{inside})"), F.lit(BORDER))
-    return F.split(marked, BORDER)
-
-
-def rewrite_pieces(pieces: Column, forms: dict[str, str]) -> Column:
-    """Join pieces to a token string again, with the listed ones (two tokens or more)
-    replaced. The list is a constant array of buckets, so its length does not slow the lookup."""
-    slots = len(forms)
-    buckets: list[list[list[str]]] = [[] for _ in range(slots)]
-    for piece, form in forms.items():
-        key = 31 * ord(piece[0]) + 17 * ord(piece[1]) + 7 * ord(piece[-1]) + len(piece)
-        buckets[key % slots].append([piece, form])
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<array<string>>>")
-
-    def rewrite(piece: Column) -> Column:
-        key = (
-            31 * F.ascii(piece)
-            + 17 * F.ascii(F.substring(piece, 2, 1))
-            + 7 * F.ascii(F.substring(piece, -1, 1))
-            + F.length(piece)
-        )
-        hit = F.filter(F.get(table, key % slots), lambda e: F.get(e, F.lit(0)) == piece)
-        form = F.coalesce(F.get(F.get(hit, F.lit(0)), F.lit(1)), piece)
-        return F.when(F.length(piece) < 2, piece).otherwise(form)
-
-    return F.array_join(F.transform(pieces, rewrite), "")
-
-
-def _escape(token: str) -> str:
-    return f"\\x{{{ord(token):X}}}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,16 +72,13 @@ class BpeModel:
     """Ordered merges under a layout.
 
     At most `MAX_VOCAB` merges exist whatever the corpus size, so the list is the one
-    thing kept on the driver. `words` is the training table (chunk, freq), if known;
-    encoding takes its dictionary of frequent chunks from it.
+    thing kept on the driver.
     """
 
     layout: Layout
     pattern: str
     merges: list[tuple[int, int, int | None]]
-    words: DataFrame | None = None
     rounds: int = 0
-    memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @cached_property
     def merge_rows(self) -> list[tuple[int, int, int, int, int | None]]:

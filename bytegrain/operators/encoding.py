@@ -1,40 +1,38 @@
-"""Encoding whole corpora as one narrow pass: no shuffle, no Python worker.
+"""Encoding whole corpora as one narrow pass: no shuffle, and no row leaves its partition.
 
 A short merge list is replayed on each text as a whole, its chunks kept apart by a
-character that is no token. For longer lists the work goes by chunk:
-
-Constant lookup tables ride along with the plan as scalar subqueries: frequent chunks
-with their tokens and, for large vocabularies, the merges by the bytes they produce. They
-are arrays of buckets addressed by hash, so a lookup costs the same whatever their size,
-and both are bounded: `DICTIONARY_ROWS` chunks of at most `DICTIONARY_CHUNK` characters,
-and fewer than `MAX_VOCAB` merges. A chunk outside the dictionary is segmented on the
-spot. Skew cannot arise, since no row leaves its partition.
+character that is no token. For longer lists the JVM splits texts into chunks and an Arrow
+function takes each batch's distinct chunks and gathers ids by array operations. A worker
+remembers short chunks for all its later batches, tasks and queries of the model, so a
+chunk is segmented about once by each worker however often it occurs, and skew cannot arise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytegrain.functions.rows import explode_computed
+from bytegrain.functions.segment import held_segmenter, merges_key
 from bytegrain.functions.text import pretokenize
 from bytegrain.functions.tokens import (
     BORDER,
+    MAX_VOCAB,
+    adjacent_pairs,
     apply_merges,
     byte_tokens,
     merge_literal,
+    sign,
     token_ids,
 )
 from bytegrain.model import BpeModel
-from bytegrain.operators.chunks import word_freq
 from bytegrain.session import Stage
 
-DICTIONARY_ROWS = 1 << 17
-DICTIONARY_CHUNK = 64
-DICTIONARY_SHARE = 1e-6
 WHOLE_TEXT_MERGES = 48  # up to here, replaying all merges on the text beats chunk lookups
-REPLAY_MERGES = 256  # up to here, replaying every merge on a chunk beats looking up slices
-SHORT_CHUNK = 256  # longer chunks are cut before they are segmented
-WINDOW = 256  # starts of slices that are looked up together
+BROADCAST_PAIRS = 1_000_000
 
 
 def encode(
@@ -46,195 +44,70 @@ def encode(
 ) -> DataFrame:
     """Add the id array of each text. Special-token names in the text are plain text."""
     chunks = pretokenize(F.col(text), model.pattern)
-    if len(model.merges) <= WHOLE_TEXT_MERGES:
-        tables = docs
+    if len(model.merges) <= WHOLE_TEXT_MERGES and model.vocab_size <= MAX_VOCAB:
         tokens = F.array_join(F.transform(chunks, byte_tokens), BORDER)
-        tokens = F.replace(apply_merges(tokens, _merge_literal(model)), F.lit(BORDER), F.lit(""))
+        merged = apply_merges(tokens, merge_literal([(pair, new) for _, pair, new in pair_signs(model)]))
+        ids = token_ids(F.replace(merged, F.lit(BORDER), F.lit("")))
     else:
-        known = _dictionary(docs.sparkSession, model)
-        tables = _with_merges(docs, model).withColumn("_known", known.scalar())
-        tokens = F.array_join(F.transform(chunks, lambda c: _chunk_tokens(c, model)), "")
-    ids = token_ids(tokens)
+        ids = segmenter(model)(chunks)
     if add_special:
         bos, eos = (F.array(F.lit(model.layout.special_id(s))) for s in ("<BOS>", "<EOS>"))
         ids = F.concat(bos, ids, eos)
-    return tables.withColumn(out, ids).drop("_known", "_merges")
+    return docs.withColumn(out, ids)
+
+
+def segmenter(model: BpeModel):
+    """A column function from arrays of chunks to arrays of ids."""
+    merges = np.array([(a, b) for a, b, _ in model.merges], np.int32).reshape(-1, 2)
+    first_id = model.layout.merges_start
+    key = merges_key(merges, first_id)
 
+    def ids_of(chunks: pa.Array) -> pa.Array:
+        return held_segmenter(key, merges, first_id).encode(chunks)
 
-def _chunk_tokens(chunk: Column, model: BpeModel) -> Column:
-    hit = F.filter(_bucket("_known", DICTIONARY_ROWS, chunk), lambda e: e["chunk"] == chunk)
-    return F.coalesce(F.get(hit, F.lit(0))["tokens"], _segment(chunk, model))
+    return F.arrow_udf(ids_of, "array<int>")
 
 
 def segment_chunks(words: DataFrame, model: BpeModel) -> DataFrame:
-    """Add `tokens`, the token string of each row's `chunk`."""
-    tables = _with_merges(words, model)
-    return tables.withColumn("tokens", _segment(F.col("chunk"), model)).drop("_merges")
-
-
-def use_dictionary_of(
-    docs: DataFrame, model: BpeModel, text: str = "text", fraction: float | None = None
-) -> BpeModel:
-    """Give a model without training table (one loaded from an artifact) a dictionary of
-    the chunks frequent in `docs`. It only saves time: results do not depend on it, so
-    a sample of the documents will do. Short merge lists need no dictionary."""
-    if len(model.merges) <= WHOLE_TEXT_MERGES:
-        return model
-    sampled = docs if fraction is None else docs.sample(fraction=fraction, seed=42)
-    words = Stage(word_freq(sampled, model.pattern, text), "words").df
-    return BpeModel(model.layout, model.pattern, model.merges, words, model.rounds)
-
-
-def _segment(chunk: Column, model: BpeModel) -> Column:
-    """Lowest-rank-first segmentation of one chunk.
-
-    A merge can only fire where its bytes occur. So replaying in rank order the merges found
-    among the chunk's slices equals replaying all of them; and a long chunk may first be cut
-    wherever no occurrence of a merge's bytes lies across, each piece being segmented on its
-    own. Slices are looked up in windows, so the work grows with the length of the chunk.
-    """
-    if len(model.merges) <= REPLAY_MERGES:
-        return apply_merges(byte_tokens(chunk), _merge_literal(model))
-    made = {len(content) for _, content, kind, _ in model.vocab_rows if kind == "merge"}
-    longest, slots = max(made), len(model.merges)
-    sizes = F.array(*map(F.lit, sorted(made)))
-
-    def lookup(merges: Column, text: Column) -> Column:
-        bucket = F.get(merges, F.pmod(F.xxhash64(text), F.lit(slots)).cast("int"))
-        return F.filter(bucket, lambda m: m["made"] == text)
-
-    def found(tokens: Column, merges: Column) -> Column:
-        def inside(window: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.length(window))
-            slices = F.transform(
-                starts, lambda at: F.transform(sizes, lambda size: F.substring(window, at, size))
-            )
-            return F.flatten(
-                F.transform(F.array_distinct(F.flatten(slices)), lambda s: lookup(merges, s))
-            )
-
-        windows = F.transform(
-            F.sequence(F.lit(1), F.length(tokens), F.lit(WINDOW)),
-            lambda at: inside(F.substring(tokens, at, F.lit(WINDOW + longest))),
-        )
-        return F.sort_array(F.array_distinct(F.flatten(windows)))
-
-    def marked(tokens: Column, merges: Column, at: Column) -> Column:
-        """The signs of one window, with a mark after each that no occurrence continues."""
-        start = F.greatest(F.lit(1), at - longest)
-        count = F.least(F.lit(WINDOW), F.length(tokens) - at + 1)
-
-        def marks(window: Column, before: Column) -> Column:
-            reach = F.transform(
-                F.sequence(F.lit(1), F.length(window)),
-                lambda i: F.array_max(
-                    F.transform(
-                        sizes,
-                        lambda size: F.when(
-                            F.size(lookup(merges, F.substring(window, i, size))) > 0, size
-                        ).otherwise(0),
-                    )
-                ),
-            )
-
-            def signs(chars: Column, reach: Column) -> Column:
-                def covered(i: Column) -> Column:
-                    back = F.sequence(F.lit(0), F.lit(longest - 2))
-                    return F.exists(back, lambda o: F.coalesce(F.get(reach, i - o), F.lit(0)) >= o + 2)
-
-                places = F.sequence(before, before + count - 1)
-                each = lambda i: F.concat(
-                    F.get(chars, i), F.when(covered(i), "").otherwise(BORDER)
-                )
-                return F.array_join(F.transform(places, each), "")
-
-            return bound(lambda b: signs(b["chars"], b["reach"]), chars=F.split(window, ""), reach=reach)
-
-        window = F.substring(tokens, start, F.lit(WINDOW + 2 * longest))
-        return bound(lambda b: marks(b["window"], b["before"]), window=window, before=at - start)
-
-    def replay(tokens: Column, merges: Column) -> Column:
-        return F.when(F.length(tokens) < 2, tokens).otherwise(
-            apply_merges(tokens, found(tokens, merges))
-        )
-
-    def segment(tokens: Column, merges: Column) -> Column:
-        windows = F.sequence(F.lit(1), F.length(tokens), F.lit(WINDOW))
-        cut = F.array_join(F.transform(windows, lambda at: marked(tokens, merges, at)), "")
-        pieces = F.array_join(F.transform(F.split(cut, BORDER), lambda p: replay(p, merges)), "")
-        return F.when(F.length(tokens) <= SHORT_CHUNK, replay(tokens, merges)).otherwise(pieces)
-
-    return bound(
-        lambda b: segment(b["tokens"], b["merges"]),
-        tokens=byte_tokens(chunk),
-        merges=F.col("_merges"),
-    )
-
-
-def bound(use, **values: Column) -> Column:
-    """`use` of values that are computed once, as fields of a struct."""
-    held = F.array(F.struct(*[value.alias(name) for name, value in values.items()]))
-    return F.get(F.transform(held, use), F.lit(0))
-
-
-def _bucket(table: str, slots: int, key: Column) -> Column:
-    return F.get(F.col(table), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
-
-
-def _bucketed(rows: DataFrame, key: str, slots: int) -> DataFrame:
-    """One row holding an array of `slots` buckets of rows. The caller bounds the rows."""
-    filled = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).agg(
-        F.collect_list(F.struct(*rows.columns)).alias("bucket")
-    )
-    dense = rows.sparkSession.range(slots).select(F.col("id").alias("slot")).join(
-        filled, "slot", "left"
-    )
-    bucket = F.coalesce("bucket", F.array().cast(filled.schema["bucket"].dataType))
-    entries = F.sort_array(F.collect_list(F.struct("slot", bucket.alias("bucket"))))
-    return dense.agg(F.transform(entries, lambda e: e["bucket"]).alias("buckets"))
-
-
-def _merge_rows(model: BpeModel) -> list[tuple[int, str, str, str]]:
-    """(rank, pair, new token, bytes made), in rank order."""
-    made = {token: content.decode("latin-1") for token, content, _, _ in model.vocab_rows}
-    return [
-        (rank, chr(left) + chr(right), chr(new), made[new])
-        for rank, left, right, new, _ in model.merge_rows
-    ]
-
-
-def _merge_literal(model: BpeModel) -> Column:
-    return merge_literal([(pair, new) for _, pair, new, _ in _merge_rows(model)])
-
-
-def _with_merges(df: DataFrame, model: BpeModel) -> DataFrame:
-    """Add the merge table as a constant column that is used once, so that the optimizer
-    moves the subquery into its place of use."""
-    if len(model.merges) <= REPLAY_MERGES:
-        return df
-    if "merges" not in model.memo:
-        rows = df.sparkSession.createDataFrame(
-            _merge_rows(model), "rank int, pair string, new string, made string"
-        )
-        model.memo["merges"] = Stage(_bucketed(rows, "made", len(model.merges)), "merges").df
-    return df.withColumn("_merges", model.memo["merges"].scalar())
-
-
-def _dictionary(spark: SparkSession, model: BpeModel) -> DataFrame:
-    """Bucketed tokens of the most frequent training chunks.
-
-    At most 1 / DICTIONARY_SHARE chunks pass the share test, whatever the corpus, so
-    the top-k sort behind it works on bounded input.
+    """Add `ids`, the ids of each row's `chunk`."""
+    return words.withColumn("ids", segmenter(model)(F.array("chunk")))
+
+
+def pair_signs(model: BpeModel) -> list[tuple[int, str, str]]:
+    """(rank, pair, new token) as signs of token strings, in rank order."""
+    return [(rank, sign(left) + sign(right), sign(new)) for rank, left, right, new, _ in model.merge_rows]
+
+
+def rank_table(spark: SparkSession, model: BpeModel) -> DataFrame:
+    """(pair, rank, new): what a pair of tokens becomes; of a repeated pair the first rank."""
+    rows: dict[str, tuple[int, str, str]] = {}
+    for rank, pair, new in pair_signs(model):
+        rows.setdefault(pair, (rank, pair, new))
+    return spark.createDataFrame(list(rows.values()), "rank int, pair string, new string")
+
+
+def segment_by_rounds(words: DataFrame, model: BpeModel) -> DataFrame:
+    """(chunk, ids) of the distinct chunks of `words`, by joins alone.
+
+    In each round the pairs of all chunks that still change meet the table of ranks, and each
+    chunk has its lowest pair merged, everywhere from the left. Rounds end when no pair is met:
+    as many as the merges of the slowest chunk, so this suits many chunks of moderate length.
     """
-    if "known" not in model.memo:
-        if model.words is None:
-            words = spark.createDataFrame([], "chunk string, freq bigint")
-        else:
-            floor = model.words.agg(F.sum("freq") * DICTIONARY_SHARE).scalar()
-            frequent = (F.col("freq") >= floor) & (F.length("chunk") <= DICTIONARY_CHUNK)
-            words = model.words.where(frequent).orderBy(F.desc("freq"), "chunk")
-        # The limit ends in one partition; spread its rows again for the segmentation.
-        top = words.limit(DICTIONARY_ROWS).select("chunk").repartition("chunk")
-        rows = segment_chunks(top, model)
-        model.memo["known"] = Stage(_bucketed(rows, "chunk", DICTIONARY_ROWS), "dictionary").df
-    return model.memo["known"]
+    ranks = rank_table(words.sparkSession, model)
+    if len(model.merges) <= BROADCAST_PAIRS:
+        ranks = F.broadcast(ranks)
+    distinct = words.select("chunk").where("chunk IS NOT NULL").distinct()
+    open_, done = Stage(distinct.withColumn("tokens", byte_tokens(F.col("chunk"))), "open"), []
+    while not open_.df.isEmpty():
+        pairs = explode_computed(open_.df, ["chunk"], F.array_distinct(adjacent_pairs(F.col("tokens"))), "pair")
+        lowest = pairs.join(ranks, "pair").groupBy("chunk").agg(F.min(F.struct("rank", "pair", "new")).alias("low"))
+        met = Stage(open_.df.join(lowest, "chunk", "left"), "met")
+        done.append(met.df.where("low IS NULL").select("chunk", "tokens"))
+        merged = F.replace(F.col("tokens"), F.col("low.pair"), F.col("low.new"))
+        after = Stage(met.df.where("low IS NOT NULL").select("chunk", merged.alias("tokens")), "open")
+        open_.drop()
+        open_ = after
+    found = done[0] if done else distinct.withColumn("tokens", F.lit(""))
+    for part in done[1:]:
+        found = found.union(part)
+    return found.select("chunk", token_ids(F.col("tokens")).alias("ids"))

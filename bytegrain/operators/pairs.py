@@ -10,11 +10,9 @@ from bytegrain.functions.tokens import (
     adjacent_pairs,
     apply_merges,
     byte_tokens,
-    cut_outside,
     merge_literal,
     pair_left,
     pair_right,
-    rewrite_pieces,
 )
 
 
@@ -63,21 +61,3 @@ def best_pair(counts: DataFrame) -> DataFrame:
 def merge_tokens(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """Apply merges, each left to right without overlap, in the given order."""
     return state.withColumn("tokens", apply_merges(F.col("tokens"), merge_literal(merges)))
-
-
-def pair_chains(state: DataFrame, pairs: list[str]) -> DataFrame:
-    """(chain, n): the maximal stretches of every chunk whose boundaries are all listed pairs."""
-    pieces = cut_outside(F.col("tokens"), pairs)
-    if "first" not in state.columns:
-        cut = explode_computed(state, ["freq"], pieces, "chain")
-        return cut.where(F.length("chain") > 1).groupBy("chain").agg(F.sum("freq").alias("n"))
-    cut = explode_computed(state, ["freq", "first"], pieces, "chain", "at")
-    return cut.where(F.length("chain") > 1).groupBy("chain").agg(
-        F.sum("freq").alias("n"), F.min(F.struct("first", "at")).alias("first")
-    )
-
-
-def rewrite_chains(state: DataFrame, pairs: list[str], forms: dict[str, str]) -> DataFrame:
-    """Replace chains of `pair_chains` by their merged forms."""
-    pieces = cut_outside(F.col("tokens"), pairs)
-    return state.withColumn("tokens", rewrite_pieces(pieces, forms))

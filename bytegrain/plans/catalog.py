@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.functions.tokens import token_ids
-from bytegrain.model import LAYOUTS, BpeModel
+from bytegrain.model import DEFAULT_VOCAB_SIZE, LAYOUTS, BpeModel
 from bytegrain.operators import chunks, corpus, pairs, quality, shards, splits
 from bytegrain.operators.decoding import decode
-from bytegrain.operators.encoding import encode, use_dictionary_of
+from bytegrain.operators.encoding import encode, segment_by_rounds
 from bytegrain.operators.training import train
 from bytegrain.plans import oracle as sql
 from bytegrain.plans.jobs import build_corpus
@@ -543,7 +543,7 @@ def q_encode_loaded(spark, sf_dir):
     path = fresh_path(spark, "artifact")
     artifact.save_model(spark, trained(spark, sf_dir), path)
     pages = table(spark, sf_dir, "pages", "page_id", "page_id", "html")
-    model = use_dictionary_of(pages, artifact.load_model(spark, path), "html")
+    model = artifact.load_model(spark, path)
     return encode(pages, model, "html").select("page_id", joined(F.col("ids")).alias("ids"))
 
 
@@ -565,7 +565,7 @@ def q_artifact_legacy(spark, sf_dir):
     return encode(docs, model).select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
-LARGE = 300  # merges; beyond encoding.REPLAY_MERGES, so chunks are segmented by lookups
+LARGE = 300  # merges; beyond encoding.WHOLE_TEXT_MERGES, so texts are segmented by chunk
 
 
 def large_model(spark: SparkSession, sf_dir: str) -> BpeModel:
@@ -587,7 +587,7 @@ def large_model(spark: SparkSession, sf_dir: str) -> BpeModel:
     + " SELECT turn_id, ids, n_tokens FROM encoded",
 )
 def q_encode_large(spark, sf_dir):
-    """Unseen texts by lookups of merges, mostly outside the dictionary."""
+    """Texts of chunks that training has mostly not met."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "conv_id", "turn", "text")
     return encode(turns, large_model(spark, sf_dir)).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
@@ -604,7 +604,7 @@ def q_encode_large(spark, sf_dir):
     + " SELECT item_id, ids FROM encoded",
 )
 def q_encode_dictionary(spark, sf_dir):
-    """Training texts, whose chunks are all in the dictionary."""
+    """Training texts, whose chunks recur often."""
     items = table(spark, sf_dir, "benchmark", "item_id", "item_id", "text")
     return encode(items, large_model(spark, sf_dir)).select(
         "item_id", joined(F.col("ids")).alias("ids")
@@ -633,6 +633,53 @@ def q_encode_long_chunks(spark, sf_dir):
     )
 
 
+FULL = DEFAULT_VOCAB_SIZE["spec"] - LAYOUTS["spec"].merges_start
+
+
+# A vocabulary of the default size; SQL would take one recursion step for each merge, so
+# tests/test_coding.py holds both queries against brute force on a small corpus.
+@register("q_train_full")
+def q_train_full(spark, sf_dir):
+    return _merge_rows(spark, trained(spark, sf_dir, FULL))
+
+
+@register("q_encode_full")
+def q_encode_full(spark, sf_dir):
+    """All documents by all merges, beside what decoding gives back."""
+    model = trained(spark, sf_dir, FULL)
+    return decode(encode(documents(spark, sf_dir), model), model).select(
+        "doc_id",
+        F.sha2(joined(F.col("ids")), 256).alias("ids_sha256"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        (F.col("decoded") == F.col("text")).alias("same"),
+    )
+
+
+@register(
+    "q_segment_rounds",
+    sql.with_recursive(
+        "turns AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)",
+        sql.words("benchmark", extra="turns"),
+        sql.training(LARGE),
+        sql.encoded("turns", "turn_id"),
+    )
+    + " SELECT turn_id, ids, n_tokens FROM encoded",
+)
+def q_segment_rounds(spark, sf_dir):
+    """Turns put together from their distinct chunks, which joins with the rank table segment."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "conv_id", "turn", "text")
+    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    cut = chunks.chunk_table(turns, key="turn_id")
+    coded = Stage(segment_by_rounds(cut.select("chunk"), large_model(spark, sf_dir)), "segmented").df
+    parts = cut.join(coded, "chunk").groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    whole = turns.select("turn_id").join(parts, "turn_id", "left").select(
+        "turn_id", F.coalesce(F.flatten("parts.ids"), F.array().cast("array<int>")).alias("ids")
+    )
+    return whole.select(
+        "turn_id", joined(F.col("ids")).alias("ids"), F.size("ids").cast("bigint").alias("n_tokens")
+    )
+
+
 @register(
     "q_literal_specials",
     sql.with_recursive(

@@ -9,7 +9,7 @@ from bytegrain.functions.text import pattern_text
 from bytegrain.model import SPEC, BpeModel, Layout
 from bytegrain.operators.chunks import word_freq, word_freq_joined
 from bytegrain.operators.corpus import MIN_CHARS, SEED, SHARD_SIZE, prepare_corpus
-from bytegrain.operators.encoding import encode, use_dictionary_of
+from bytegrain.operators.encoding import encode
 from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards
 from bytegrain.operators.splits import TRAIN_SHARE, assign_split, cut_split, token_table
 from bytegrain.operators.training import train
@@ -74,7 +74,7 @@ def train_tokenizer(
             words = word_freq(docs, pattern, order=order)
         model = train(words, vocab_size, layout, pattern, tie)
         save_model(spark, model, artifact)
-    return BpeModel(model.layout, model.pattern, model.merges, rounds=model.rounds)
+    return model
 
 
 def encode_corpus(
@@ -94,7 +94,7 @@ def encode_corpus(
     artifact's own unless one is given."""
     with scratch():
         docs = read_shards(spark, shards).select(key, "text")
-        model = use_dictionary_of(docs, load_model(spark, artifact, pattern))
+        model = load_model(spark, artifact, pattern)
         coded = encode(docs, model, add_special=add_special).select(key, "ids")
         if by_offset:
             coded = coded.withColumn("split", F.lit("all"))

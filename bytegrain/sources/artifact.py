@@ -12,7 +12,7 @@ from base64 import b64decode
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrain.model import LAYOUTS, BpeModel, Layout
+from bytegrain.model import LAYOUTS, BpeModel, Layout, check_vocab_size
 
 ARTIFACT_SCHEMA = (
     "vocab_size int, special_tokens map<string,int>, "
@@ -59,14 +59,41 @@ def load_model(spark: SparkSession, path: str, pattern: str | None = None) -> Bp
     """Merge ids follow from the layout and the order of `merges`; the stored size is not used.
 
     The pattern is the stored one; `pattern` stands in for files without one (cl100k if
-    neither is known), and must agree with a stored one.
+    neither is known), and must agree with a stored one. Merges of tokens that don't exist
+    yet, more ids than a model can have, and stored bytes that the merges don't make are errors.
     """
     row = load_artifact(spark, path).first()
+    if row is None or row.merges is None:
+        raise ValueError(f"{path} holds no merges")
     if pattern is not None and row.pattern not in (None, pattern):
         raise ValueError(f"the artifact was trained with pattern {row.pattern!r}, not {pattern!r}")
     layout = _layout_of(row.special_tokens or {}, row.vocab or {}, len(row.merges))
-    merges = [(left, right, None) for left, right in row.merges]
-    return BpeModel(layout, row.pattern or pattern or "cl100k", merges)
+    merges = _checked_merges(layout, row.merges)
+    model = BpeModel(layout, row.pattern or pattern or "cl100k", merges)
+    _check_vocab(model, row.vocab or {})
+    return model
+
+
+def _checked_merges(layout: Layout, pairs: list[list[int]]) -> list[tuple[int, int, None]]:
+    if pairs:
+        check_vocab_size(layout, layout.merges_start + len(pairs))
+    merges = []
+    for new, pair in enumerate(pairs, layout.merges_start):
+        known = [i for i in pair or () if i is not None and (0 <= i < 256 or layout.merges_start <= i < new)]
+        if len(known) != 2 or len(pair) != 2:
+            raise ValueError(f"token {new} can't be made of {pair}")
+        merges.append((pair[0], pair[1], None))
+    return merges
+
+
+def _check_vocab(model: BpeModel, vocab: dict[str, str]) -> None:
+    """Bytes and merges must be what is stored for them; names of other tokens may differ."""
+    made = {token: content for token, content, kind, _ in model.vocab_rows if kind in ("byte", "merge")}
+    for token, data in vocab.items():
+        if not 0 <= int(token) < model.vocab_size:
+            raise ValueError(f"token {token} of the stored vocabulary belongs to no merge")
+        if int(token) in made and b64decode(data) != made[int(token)]:
+            raise ValueError(f"token {token} is stored as {b64decode(data)!r}, but made as {made[int(token)]!r}")
 
 
 def _layout_of(specials: dict[str, int], vocab: dict[str, str], n_merges: int) -> Layout:

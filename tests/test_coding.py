@@ -1,14 +1,17 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from bytegrain.model import COMPACT, SPEC, BpeModel
+from bytegrain.functions import segment
+from bytegrain.model import COMPACT, SPEC, BpeModel, Layout
 from bytegrain.operators import encoding
 from bytegrain.operators.chunks import word_freq
 from bytegrain.operators.decoding import decode
-from bytegrain.operators.encoding import encode, segment_chunks
+from bytegrain.operators.encoding import encode, segment_by_rounds, segment_chunks
 from bytegrain.operators.quality import id_range, roundtrip
 from bytegrain.operators.training import train
 from test_text import ADVERSARIAL
@@ -55,41 +58,94 @@ def test_empty_null_and_special(spark, model, way):
     assert got[2] == ("<BOS>hello<EOS>", "hello") and got[0] == ("<BOS><EOS>", "")
 
 
-@pytest.mark.parametrize("replay,short", [(1024, 256), (0, 256), (0, 3)])
-def test_segmentation_equals_lowest_rank_first(spark, monkeypatch, replay, short):
-    """Replay, slice lookup and cut pieces give the same, and so does the brute force."""
-    monkeypatch.setattr(encoding, "REPLAY_MERGES", replay)
-    monkeypatch.setattr(encoding, "SHORT_CHUNK", short)
+@pytest.mark.parametrize("short", [32, 2])
+def test_segmentation_equals_lowest_rank_first(spark, monkeypatch, short):
+    """Both segmenters give what the brute force gives, and so do joins with the rank table."""
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
+    monkeypatch.setattr(segment, "SHORT", short)
     rng = random.Random(7)
     corpus = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(60)]
     merges = brute.train([c.encode() for c in corpus], 40, 260)
     model = BpeModel(COMPACT, "cl100k", merges)
     unseen = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 15))) for _ in range(200)]
     unseen += ["".join(rng.choice("abcdé") for _ in range(n)) for n in (255, 257, 700)] + ["a" * 600]
-    rows = segment_chunks(spark.createDataFrame([(c,) for c in unseen], "chunk string"), model)
-    for row in rows.collect():
-        assert [ord(c) for c in row.tokens] == brute.segment(row.chunk.encode(), merges, 260)
+    want = {c: brute.segment(c.encode(), merges, 260) for c in unseen}
+    table = segment.pair_table(np.array([m[:2] for m in merges]), 260)
+    for way in (segment.segment_short, segment.segment_long):
+        assert {c: way(list(c.encode()), table) for c in unseen} == want
+    words = spark.createDataFrame([(c,) for c in unseen], "chunk string")
+    assert {r.chunk: r.ids for r in segment_chunks(words, model).collect()} == want
     texts = docs_of(spark, [" ".join(unseen[i : i + 9]) for i in range(0, 200, 9)])
     assert roundtrip(decode(encode(texts, model), model)).first().mismatches == 0
 
 
+@pytest.mark.parametrize("seed, start", [(1, 260), (2, 260), (3, 55_290)])
+def test_rounds_of_joins_equal_the_heap(spark, monkeypatch, seed, start):
+    """Random vocabularies, whose merges needn't come from any training; ids around 55,296."""
+    layout = Layout("wide", 256, ("<UNK>",), start - 257)
+    rng = random.Random(seed)
+    merges, ids = [], [*b"abc"]
+    while len(merges) < 60:
+        pair = (rng.choice(ids), rng.choice(ids), None)
+        if pair not in merges:
+            ids.append(start + len(merges))
+            merges.append(pair)
+    model = BpeModel(layout, "cl100k", merges)
+    chunks = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    words = spark.createDataFrame([(c,) for c in [*chunks, *chunks[:5], None]], "chunk string")
+    want = {c: brute.segment(c.encode(), merges, start) for c in chunks}
+    assert {r.chunk: r.ids for r in segment_by_rounds(words, model).collect()} == want
+    known = {r.chunk: r.ids for r in segment_chunks(words.dropna(), model).collect()}
+    assert known == want
+    docs = docs_of(spark, chunks)
+    for whole in (0, 1024):
+        monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", whole)
+        assert [r.ids for r in encode(docs, model).orderBy("doc_id").collect()] == [want[c] for c in chunks]
+    assert [r.decoded for r in decode(encode(docs, model), model).orderBy("doc_id").collect()] == chunks
+    assert segment_by_rounds(words.limit(0), model).collect() == []
+
+
+def test_a_full_vocabulary_against_brute_force(spark):
+    """Training to the end of all pairs and encoding with every merge learned."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(160)]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(40)]
+    docs = docs_of(spark, texts)
+    model = train(word_freq(docs), 50_304)
+    chunks = [c.encode() for t in texts for c in pretokens(t)]
+    assert model.merges == brute.train(chunks, 50_304, SPEC.merges_start) and len(model.merges) > 300
+    for row in encode(docs, model).collect():
+        want = [i for c in pretokens(row.text) for i in brute.segment(c.encode(), model.merges, SPEC.merges_start)]
+        assert row.ids == want
+
+
+def pretokens(text):
+    """Chunks of lower-case words between single blanks."""
+    return [w if i == 0 else f" {w}" for i, w in enumerate(text.split(" "))]
+
+
 def test_all_ways_agree(spark, model, monkeypatch):
     docs = docs_of(spark, ADVERSARIAL)
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 1024)
     whole = encode(docs, model).collect()
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
     assert encode(docs, model).collect() == whole
-    bare = BpeModel(model.layout, model.pattern, model.merges)
-    assert encode(docs, bare).collect() == whole
 
 
-def test_lookup_tables_are_inlined(spark, model, monkeypatch):
-    """The dictionary must not become a column that every row carries."""
+def test_encoding_shuffles_nothing(spark, model, monkeypatch):
     monkeypatch.setattr(encoding, "WHOLE_TEXT_MERGES", 0)
-    encoded = encode(docs_of(spark, ["hello"]), model)
-    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
-    assert "AS _known" not in plan
+    plan = encode(docs_of(spark, ["hello"]), model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_a_worker_forgets_when_it_holds_much(monkeypatch):
+    monkeypatch.setattr(segment, "KNOWN_CHUNKS", 3)
+    held = segment.Segmenter(np.array([(97, 98)]), 300)
+    lists = pa.array([["ab", "cab"], None, [], ["ab", "abab" * 40]], pa.list_(pa.string()))
+    for _ in range(3):
+        got = held.encode(lists).to_pylist()
+        assert got == [[300, 99, 300], None, [], [300] * 81]
+    assert "abab" * 40 not in held.known
 
 
 def test_literal_specials_are_text(spark, model):

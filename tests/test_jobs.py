@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from bytegrain.functions.segment import segment_long
 from bytegrain.model import COMPACT, BpeModel, Layout
 from bytegrain.operators.decoding import decode
 from bytegrain.operators.encoding import encode
@@ -86,6 +87,59 @@ def test_indented_artifact_and_wrong_size_load(spark, tmp_path):
         load_model(spark, str(tmp_path / "u.json"))
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"merges": [[97, 261]]},
+        {"merges": [[97, 257]]},
+        {"merges": [[97, -1]]},
+        {"merges": [[97, 98, 99]]},
+        {"merges": [[97]]},
+        {"merges": [None]},
+        {"merges": None},
+        {"vocab": {"260": "YWM="}},
+        {"vocab": {"65": "QkI="}},
+        {"vocab": {"261": "YWI="}},
+    ],
+)
+def test_malformed_artifacts_are_refused(spark, tmp_path, change):
+    data = {
+        "special_tokens": {"<PAD>": 256, "<BOS>": 257, "<EOS>": 258, "<UNK>": 259},
+        "vocab": {"65": "QQ==", "260": "YWI="},
+        "merges": [[97, 98]],
+    }
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    assert load_model(spark, str(tmp_path / "t.json")).vocab_size == 261
+    (tmp_path / "u.json").write_text(json.dumps(data | change))
+    with pytest.raises(ValueError):
+        load_model(spark, str(tmp_path / "u.json"))
+
+
+def test_an_artifact_of_60000_merges(spark, tmp_path):
+    """Saved, loaded, and used on both sides of 55,296."""
+    merges, ids = [], list(range(97, 123))
+    while len(merges) < 60_000:
+        at = len(merges)
+        merges.append((ids[at % len(ids)], ids[(7 * at + at // 26) % 26], None))
+        if at < 26 * 26 * 100:
+            ids.append(COMPACT.merges_start + at)
+    model = BpeModel(COMPACT, "cl100k", merges)
+    save_model(spark, model, str(tmp_path / "a"))
+    loaded = load_model(spark, str(tmp_path / "a"))
+    assert loaded.merges == merges and loaded.vocab_size == 60_260
+    contents = {row[0]: row[1].decode("latin-1") for row in model.vocab_rows}
+    texts = [contents[i] for i in (300, 55_295, 55_296, 57_344, 60_259)]
+    docs = docs_of(spark, [" ".join(texts), *texts])
+    coded = encode(docs, loaded)
+    assert [r.decoded for r in decode(coded, loaded).orderBy("doc_id").collect()] == [" ".join(texts), *texts]
+    table = {pair[:2]: COMPACT.merges_start + at for at, pair in reversed(list(enumerate(merges)))}
+    for row in coded.where("doc_id > 0").collect():
+        assert row.ids == segment_long(list(row.text.encode()), table)
+    rows = spark.createDataFrame([(1, [55_295, 55_296, 57_343, 57_344, 60_259])], "k int, ids array<int>")
+    want = "".join(contents[i] for i in (55_295, 55_296, 57_343, 57_344, 60_259))
+    assert decode(rows, loaded).first().decoded == want
+
+
 def test_long_tokens_have_no_line_breaks_in_base64(spark, tmp_path):
     merges = [(97, 97, 1), *((260 + i, 260 + i, 1) for i in range(7))]
     save_model(spark, BpeModel(COMPACT, "cl100k", merges), str(tmp_path / "a"))

@@ -1,19 +1,23 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from bytegrain.model import COMPACT, SPEC
+from bytegrain.functions import runs
+from bytegrain.model import COMPACT, SPEC, Layout
 from bytegrain.operators.chunks import word_freq
 from bytegrain.operators.pairs import (
     best_pair,
     count_pairs,
     merge_tokens,
-    pair_chains,
     pair_ids,
     token_table,
 )
+from bytegrain.operators import training
 from bytegrain.operators.training import train
 
 
@@ -66,12 +70,79 @@ def test_merge_left_to_right_without_overlap(spark):
     assert [ord(c) for c in got[1]] == [99, 1]
 
 
-def test_chains_cut_outside_the_hot_pairs(spark):
-    state = spark.createDataFrame(
-        [(2, "abcab\nab"), (3, "xab^]"), (1, "aaaa")], "freq bigint, tokens string"
-    )
-    got = {r.chain: r.n for r in pair_chains(state, ["ab", "b\n", "aa", "^]"]).collect()}
-    assert got == {"ab": 7, "ab\n": 2, "aaaa": 1, "^]": 3}
+def key(left, right):
+    return left << 32 | right
+
+
+def chain_of(text):
+    return np.array([*map(ord, text)], "<i4").tobytes()
+
+
+def token_lists(*texts):
+    return pa.array([[ord(c) for c in t] for t in texts], pa.list_(pa.int32()))
+
+
+def test_chains_end_where_a_pair_is_not_hot():
+    hot = np.array(sorted(key(ord(a), ord(b)) for a, b in ("ab", "b\n", "aa", "^]")), np.int64)
+    tokens = token_lists("abcab\nab", "xab^]", "aaaa", "b")
+    chains, n, row, at = runs.chain_sums(tokens, np.array([2, 3, 1, 5]), hot)
+    got = {c: (k, r, i) for c, k, r, i in zip(chains.to_pylist(), n.tolist(), row.tolist(), at.tolist())}
+    assert got == {
+        chain_of("ab"): (7, 0, 0), chain_of("ab\n"): (2, 0, 3), chain_of("aaaa"): (1, 2, 0), chain_of("^]"): (3, 1, 3)
+    }
+    new, changed = runs.rewritten(tokens, hot, lambda c: {chain_of("ab"): chain_of("X")}.get(c, c))
+    assert new.to_pylist() == token_lists("Xcab\nX", "xX^]", "aaaa", "b").to_pylist()
+    assert changed.tolist() == [True, True, False, False]
+    none = np.array([key(1, 1)], np.int64)
+    assert runs.rewritten(tokens, none, lambda c: c)[0].to_pylist() == tokens.to_pylist()
+
+
+@pytest.mark.parametrize("run, form", [("aa", "N"), ("aaa", "Na"), ("aaaa", "NN"), ("ab", "N")])
+def test_runs_of_one_pair_merge_from_the_left(run, form):
+    assert runs.merge_run(chain_of(run), ord("N")) == chain_of(form)
+
+
+def test_pair_sums_are_exact_and_first_places_are_kept():
+    many = 1 << 60
+    tokens = pa.array([[1, 2, 1, 2], None, [], [3], [1, 1, 1]], pa.list_(pa.int32()))
+    pairs, n, row, at = runs.pair_sums(tokens, np.array([many + 1, 9, 9, 9, 7]))
+    got = {p: (k, r, i) for p, k, r, i in zip(pairs.tolist(), n.tolist(), row.tolist(), at.tolist())}
+    assert got == {key(1, 2): (2 * many + 2, 0, 0), key(2, 1): (many + 1, 0, 1), key(1, 1): (14, 4, 0)}
+    empty = runs.pair_sums(pa.array([], pa.list_(pa.int32())), np.zeros(0, np.int64))
+    assert [len(part) for part in empty] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_counts_after_each_round_are_those_of_a_recount(spark, monkeypatch, broadcast):
+    """The kept table of counts, against one made of the state from scratch."""
+    if not broadcast:
+        monkeypatch.setattr(training, "BROADCAST_PAIRS", -1)
+    seen = []
+    change = training.count_changes
+
+    def compare(counts, state, next_id):
+        after = change(counts, state, next_id)
+        kept = Counter({r.pair: r.n for r in after.collect()})
+        again = Counter({r.pair: r.n for r in training.pair_counts(state, ["freq"]).collect()})
+        seen.append(kept == again)
+        return after
+
+    monkeypatch.setattr(training, "count_changes", compare)
+    rng = random.Random(4)
+    chunks = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(50)]
+    got = train(word_table(spark, chunks), 260 + 40, COMPACT, max_chains=30)
+    assert got.merges == brute.train([c.encode() for c in chunks], 40, 260) and len(seen) > 2 and all(seen)
+
+
+@pytest.mark.parametrize("tie", ["id", "first"])
+def test_ids_across_the_surrogates(spark, tie):
+    """Merges get ids on both sides of 55,296, and beyond the surrogates."""
+    layout = Layout("wide", 256, ("<UNK>",), 55_290 - 257)
+    rng = random.Random(5)
+    chunks = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 14))) for _ in range(40)]
+    got = train(word_table(spark, chunks), layout.merges_start + 25, layout, tie=tie)
+    assert got.merges == brute.train([c.encode() for c in chunks], 25, 55_290, tie)
+    assert got.vocab_size == 55_315
 
 
 @pytest.mark.parametrize("tie", ["id", "first"])
@@ -107,7 +178,7 @@ def test_early_stop_and_size_check(spark):
     words = spark.createDataFrame([("ab", 3), ("c", 1)], "chunk string, freq bigint")
     model = train(words, 1000)
     assert model.merges == [(97, 98, 3)] and model.vocab_size == 529
-    for size in (528, 55296):
+    for size in (528, 0x110000):
         with pytest.raises(ValueError):
             train(words, size)
     with pytest.raises(ValueError):
