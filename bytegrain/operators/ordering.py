@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +16,16 @@ from bytegrain.session import Stage
 _ROW_BITS = 33  # low bits of monotonically_increasing_id: the row within its partition
 
 
+def in_key_order(df: DataFrame, *order: str) -> DataFrame:
+    """Rows sorted over all partitions. Narrow steps behind it keep the order."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def _range_sorted(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Range-partition and sort once, tag rows with partition and position, and write
     the result down so that every later pass sees the same tags."""
     tagged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
+        in_key_order(df, *order).withColumn("_row", F.monotonically_increasing_id())
     )
     return (
         Stage(tagged, name)
@@ -71,3 +80,38 @@ def with_start(df: DataFrame, length: str, group: str, *order: str) -> DataFrame
         .withColumn("start_offset", (F.col("_offset") + F.col("_before")).cast("bigint"))
         .drop("_part", "_local", "_before", "_offset")
     )
+
+
+def with_start_in_order(df: DataFrame, values: str, group: str, *order: str) -> DataFrame:
+    """`with_start` of rows that lie in order already: the start of each array of `values` in
+    its group. Rows are written with their start within the partition, and the totals of
+    partitions, which are few, are broadcast; nothing is shuffled.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(values)), 0).to_numpy(zero_copy_only=False)
+            coded = batch.column(group).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            before = np.zeros(len(codes), np.int64)
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                ends = seen.get(name, 0) + np.cumsum(sizes[own], dtype=np.int64)
+                before[own], seen[name] = ends - sizes[own], int(ends[-1])
+            yield pa.record_batch([*batch.columns, pa.array(before)], [*batch.schema.names, "_before"])
+
+    tagged = df.withColumn("_part", F.spark_partition_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema)
+    rows = Stage(tagged.mapInArrow(place, f"{fields}, _before bigint"), "placed").df
+    keys = F.struct(*order)
+    totals = rows.groupBy("_part", group).agg(
+        F.sum(F.size(values)).cast("bigint").alias("_total"), F.min(keys).alias("_low"), F.max(keys).alias("_high")
+    )
+    ends = totals.groupBy("_part").agg(F.min("_low").alias("low"), F.max("_high").alias("high"))
+    above = F.lag("high").over(Window.orderBy("_part")) > F.col("low")  # one row a partition
+    if not ends.select(above.alias("above")).where("above").isEmpty():
+        raise ValueError(f"rows must lie in the order of {', '.join(order)}; see in_key_order")
+    offsets = F.broadcast(_offsets(totals.select("_part", group, F.coalesce("_total", F.lit(0)).alias("_total")), [group]).withColumnsRenamed({"_part": "_p", group: "_g"}))
+    placed = rows.join(offsets, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return placed.withColumn("start_offset", F.col("_offset") + F.col("_before")).select(*df.columns, "start_offset")

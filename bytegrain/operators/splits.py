@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bytegrain.functions.text import keep_draw
 from bytegrain.operators.corpus import SEED
-from bytegrain.operators.ordering import with_start
+from bytegrain.operators.ordering import with_start, with_start_in_order
 from bytegrain.session import Stage
 
 TRAIN_SHARE = 0.9
@@ -32,10 +32,10 @@ def token_offsets(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") ->
 
 
 def token_table(encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(split, key, start_offset, ids) of an encoded corpus. `encoded` is read twice, so
-    pass a written table rather than a plan that encodes."""
-    offsets = token_offsets(encoded, key, ids).select(key, "start_offset")
-    return encoded.join(offsets, key).select("split", key, "start_offset", ids)
+    """(split, key, start_offset, ids) of an encoded corpus whose rows lie in key order: order
+    the texts by `in_key_order` and encode them then. Ids are written once and never shuffled."""
+    rows = encoded.select("split", key, ids)
+    return with_start_in_order(rows, ids, "split", key).select("split", key, "start_offset", ids)
 
 
 def cut_split(tokens: DataFrame, train_share: float = TRAIN_SHARE) -> DataFrame:

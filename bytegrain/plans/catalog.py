@@ -13,6 +13,7 @@ from bytegrain.model import DEFAULT_VOCAB_SIZE, LAYOUTS, BpeModel
 from bytegrain.operators import chunks, corpus, pairs, quality, shards, splits
 from bytegrain.operators.decoding import decode
 from bytegrain.operators.encoding import encode, segment_by_rounds
+from bytegrain.operators.ordering import in_key_order
 from bytegrain.operators.training import train
 from bytegrain.plans import oracle as sql
 from bytegrain.plans.jobs import build_corpus
@@ -142,8 +143,8 @@ def q_shards(spark, sf_dir):
     "WHERE shard_id < 3 GROUP BY shard_id",
 )
 def q_shard_cap(spark, sf_dir):
-    sharded = shards.assign_shards(prepared(spark, sf_dir).select("doc_id"), SHARD)
-    return shards.cap_shards(sharded, 3).groupBy("shard_id").agg(F.count("*").alias("docs"))
+    sharded = shards.assign_shards(prepared(spark, sf_dir), SHARD, max_new=3)
+    return sharded.groupBy("shard_id").agg(F.count("*").alias("docs"))
 
 
 @register("q_shard_sink", f"WITH {_SHARDED} SELECT shard_id, doc_id, md5(text) AS digest FROM sharded")
@@ -845,10 +846,10 @@ def q_offsets(spark, sf_dir):
 )
 def q_token_table(spark, sf_dir):
     """The encoded corpus, written by split and read back."""
-    coded = Stage(splits.assign_split(encoded(spark, sf_dir)).select("split", "doc_id", "ids"), "coded")
+    docs = in_key_order(documents(spark, sf_dir), "doc_id")
     path = fresh_path(spark, "tokens")
-    tables.write_token_table(splits.token_table(coded.df), path)
-    coded.drop()
+    coded = splits.assign_split(encode(docs, trained(spark, sf_dir)))
+    tables.write_token_table(splits.token_table(coded), path)
     return tables.read_token_table(spark, path).select(
         "split", "doc_id", "start_offset", joined(F.col("ids")).alias("ids")
     )
@@ -869,10 +870,9 @@ def q_token_table(spark, sf_dir):
 )
 def q_split_by_offset(spark, sf_dir):
     """The split by token position, which cuts the document across the border."""
-    coded = Stage(
-        encoded(spark, sf_dir).select(F.lit("all").alias("split"), "doc_id", "ids"), "coded"
-    )
-    cut = splits.cut_split(splits.token_table(coded.df).drop("split"))
+    docs = in_key_order(documents(spark, sf_dir), "doc_id")
+    coded = encode(docs, trained(spark, sf_dir)).withColumn("split", F.lit("all"))
+    cut = splits.cut_split(splits.token_table(coded).drop("split"))
     return cut.select(
         "split", "doc_id", "start_offset", F.size("ids").cast("bigint").alias("n_tokens")
     )
@@ -908,3 +908,17 @@ def q_stream_encode(spark, sf_dir):
     docs = _document_stream(spark, sf_dir)
     ingest.ingest_encoded(docs, trained(spark, sf_dir), target, log)
     return spark.read.parquet(target).select("doc_id", joined(F.col("ids")).alias("ids"))
+
+
+@register(
+    "q_stream_encode_large",
+    sql.with_recursive(sql.words("benchmark"), sql.training(LARGE), sql.encoded())
+    + " SELECT doc_id, ids, n_tokens FROM encoded",
+)
+def q_stream_encode_large(spark, sf_dir):
+    """A stream encoded by chunk; workers keep what they have segmented for later batches."""
+    target, log = fresh_path(spark, "encoded"), fresh_path(spark, "encode-log")
+    ingest.ingest_encoded(_document_stream(spark, sf_dir), large_model(spark, sf_dir), target, log)
+    return spark.read.parquet(target).select(
+        "doc_id", joined(F.col("ids")).alias("ids"), F.size("ids").cast("bigint").alias("n_tokens")
+    )

@@ -10,10 +10,11 @@ from bytegrain.model import SPEC, BpeModel, Layout
 from bytegrain.operators.chunks import word_freq, word_freq_joined
 from bytegrain.operators.corpus import MIN_CHARS, SEED, SHARD_SIZE, prepare_corpus
 from bytegrain.operators.encoding import encode
-from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards
+from bytegrain.operators.ordering import in_key_order
+from bytegrain.operators.shards import assign_shards, resume_shards
 from bytegrain.operators.splits import TRAIN_SHARE, assign_split, cut_split, token_table
 from bytegrain.operators.training import train
-from bytegrain.session import Stage, any_file, scratch
+from bytegrain.session import any_file, scratch
 from bytegrain.sources.artifact import load_model, save_model
 from bytegrain.sources.tables import (
     landed_documents,
@@ -44,9 +45,8 @@ def build_corpus(
             landed = landed_documents(spark, target, key)
             sharded = resume_shards(kept, landed, shard_size, key, max_shards)
         else:
-            sharded = assign_shards(kept, shard_size, key)
-            sharded = sharded if max_shards is None else cap_shards(sharded, max_shards)
-        write_shards(sharded, target)
+            sharded = assign_shards(kept, shard_size, key, max_new=max_shards)
+        write_shards(sharded, target, key=key)
 
 
 def train_tokenizer(
@@ -93,14 +93,14 @@ def encode_corpus(
     document, or with `by_offset` at one position of the whole flat array. The pattern is the
     artifact's own unless one is given."""
     with scratch():
-        docs = read_shards(spark, shards).select(key, "text")
+        docs = in_key_order(read_shards(spark, shards).select(key, "text"), key)
         model = load_model(spark, artifact, pattern)
         coded = encode(docs, model, add_special=add_special).select(key, "ids")
         if by_offset:
             coded = coded.withColumn("split", F.lit("all"))
         else:
             coded = assign_split(coded, train_share, seed, key)
-        tokens = token_table(Stage(coded, "coded").df, key)
+        tokens = token_table(coded, key)
         if by_offset:
             tokens = cut_split(tokens.drop("split"), train_share)
         write_token_table(tokens, target)

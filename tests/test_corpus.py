@@ -1,12 +1,14 @@
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from bytegrain.operators.corpus import corpus_stats, prepare_corpus
-from bytegrain.operators.ordering import with_rank, with_start
+from bytegrain.operators.ordering import in_key_order, with_rank, with_start
 from bytegrain.operators.shards import assign_shards, cap_shards, resume_shards, shard_text
 from bytegrain.operators.chunks import word_freq, word_freq_joined
+from bytegrain.sources.tables import write_shards
 from bytegrain.operators.splits import assign_split, cut_split, token_offsets, token_table
 
 
@@ -58,6 +60,42 @@ def test_shards_and_tail(spark):
     assert texts["chunk_00002.txt"] == "\n\n".join(f"d{i}" for i in range(20, 25))
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_shards_of_other_keys(spark, kind, size):
+    """Keys with gaps, as text too, one of them null: the shard follows from the rank."""
+    rng = random.Random(size)
+    keys = [None, *rng.sample(range(-500, 500), 60)]
+    if kind == "string":
+        keys = [k if k is None else f"{'é' if k % 3 else 'z'}{k}" for k in keys]
+    order = sorted(keys, key=lambda k: (k is not None, k.encode() if isinstance(k, str) else k or 0))
+    df = spark.createDataFrame([(k, "t") for k in keys], f"doc_id {kind}, text string").repartition(4)
+    got = {r.doc_id: (r.shard_id, r.shard_last) for r in assign_shards(df, size, first_shard=5).collect()}
+    last = len(order) - 1
+    assert got == {k: (5 + i // size, i % size == size - 1 or i == last) for i, k in enumerate(order)}
+    for shards in (1, 2, 1000):
+        kept = assign_shards(df, size, max_new=shards).collect()
+        assert {r.doc_id for r in kept} == set(order[: shards * size])
+    with pytest.raises(ValueError):
+        assign_shards(df, size, max_new=0)
+
+
+def test_text_moves_once_into_the_shards(spark, tmp_path):
+    docs_of(spark, [f"d{i}" for i in range(50)]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sharded = assign_shards(docs, 10, max_new=2)
+    plan = sharded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0]
+    assert "LessThanOrEqual(doc_id,19)" in plan
+    staged = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "bytegrain"
+    held = [spark.read.parquet(str(p)).columns for p in staged.glob("ranked-*")]
+    assert held and all("text" not in columns for columns in held if "doc_id" in columns)
+    write_shards(sharded, str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.shard_id) for r in rows] == [(i, i // 10) for i in range(20)]
+    assert len(list((tmp_path / "out").glob("shard_id=*/*.parquet"))) == 2
+
+
 def test_resume_numbers_on(spark):
     docs = docs_of(spark, [f"d{i}" for i in range(30)])
     landed = assign_shards(docs.where("doc_id % 3 = 0"), 4)
@@ -101,6 +139,23 @@ def test_split_and_token_table(spark):
     assert token_offsets(split).count() == 40
 
 
+def test_ids_are_never_shuffled(spark):
+    """Offsets over several partitions, null arrays and splits; no exchange in the plan."""
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["train", "val", None]), None if k % 11 == 5 else list(range(rng.randrange(5)))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, split string, ids array<int>")
+    table = token_table(in_key_order(df.repartition(5), "doc_id"))
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    at, want = {}, {}
+    for k, split, ids in rows:
+        want[k] = at.get(split, 0)
+        at[split] = want[k] + len(ids or [])
+    assert {r.doc_id: r.start_offset for r in table.collect()} == want
+    with pytest.raises(ValueError):
+        token_table(df.repartition(5))
+    assert token_table(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("share", [0.05, 0.5, 0.9, 0.99])
 def test_split_by_offset(spark, share):
     table = token_table(encoded(spark).withColumn("split", F.lit("all"))).drop("split")

@@ -199,6 +199,31 @@ def test_stream_encoding_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_many_batches_with_a_stop(spark, tmp_path):
+    """Over 300 merges, several batches, a stop that leaves a batch half done, and a resumption."""
+    letters = "abcdefgh"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    merges = [(ord(a), ord(b), None) for a in letters for b in letters]
+    merges += [(260 + i, ord(c), None) for i in range(64) for c in letters[:4]]
+    model = BpeModel(COMPACT, "cl100k", merges)
+    assert len(merges) > 300
+    source, target, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    parts = [[" ".join(words[(7 * i + j) % len(words)] for j in range(i % 9)) for i in range(at, at + 20)] for at in range(0, 100, 20)]
+    for batch, part in enumerate(parts[:3]):
+        docs_of(spark, part, 20 * batch).coalesce(1).write.mode("append").parquet(source)
+    read = lambda: read_stream(spark, source, "doc_id bigint, text string", max_files=1)
+    ingest_encoded(read(), model, target, log)
+    for name in ("2", ".2.crc"):  # as if stopped before the last batch was committed
+        (tmp_path / "log" / "commits" / name).unlink()
+    for batch, part in enumerate(parts[3:], 3):
+        docs_of(spark, part, 20 * batch).coalesce(1).write.mode("append").parquet(source)
+    ingest_encoded(read(), model, target, log)
+    got = spark.read.parquet(target).orderBy("doc_id").collect()
+    docs = docs_of(spark, [t for part in parts for t in part])
+    assert got == encode(docs, model).select("doc_id", "ids").orderBy("doc_id").collect()
+    assert len(list((tmp_path / "log" / "offsets").glob("[0-9]*"))) == 5
+
+
 def test_staged_tables_go_to_the_shared_folder(spark):
     from bytegrain.session import Stage
 
