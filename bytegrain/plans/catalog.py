@@ -912,7 +912,7 @@ def q_stream_encode(spark, sf_dir):
 
 @register(
     "q_stream_encode_large",
-    sql.with_recursive(sql.words("benchmark"), sql.training(LARGE), sql.encoded())
+    sql.with_recursive(sql.words("benchmark", extra="documents"), sql.training(LARGE), sql.encoded())
     + " SELECT doc_id, ids, n_tokens FROM encoded",
 )
 def q_stream_encode_large(spark, sf_dir):
