@@ -11,9 +11,9 @@ from bytegrain.session import Stage
 #: A term is kept if at least the one and less than the other share of all documents hold it.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.05
 LEXICON_BUCKETS = 1 << 14
-LEVELS = 6  # the subsets of a level are a quarter of those before
+LEVELS = 10  # each keeps a quarter of the terms of the one before; the last suits millions of terms
 SUBSETS = 32  # of a level
-LEVEL_TERMS = 256  # a level but the last that keeps more terms of a document is left out for it
+LEVEL_TERMS = 256  # a level that keeps more terms than that is empty; the next keeps fewer
 LEAST_TERMS = 8  # of the lexicon; texts with fewer are known by all of their words
 LEAST_FILLED = 8  # subsets that a level needs in order to be compared
 
@@ -56,8 +56,9 @@ def with_fingerprint(df: DataFrame, text: str, known: Column, name: str) -> Data
     terms that it keeps, or '00' if it keeps none. Terms are dealt to 8 groups and then to 4
     subsets of each, which touches a term 12 times instead of 32.
 
-    The last level has no limit. A text of which it keeps more than LEVEL_TERMS has left the
-    levels before it empty, and has levels with still fewer terms in their places.
+    A level that keeps more than LEVEL_TERMS terms of a text is empty for it: hardly a subset of so
+    many terms would survive an edit. The ladder is the same for all texts, and so deep that
+    each has levels of some 8 to 256 terms, up to tens of millions of terms (the last has no limit).
     """
     inside = F.filter(
         "_words", lambda w: F.coalesce(F.array_contains(F.get("_known", _place(w)), w), F.lit(False))
@@ -82,16 +83,12 @@ def with_fingerprint(df: DataFrame, text: str, known: Column, name: str) -> Data
     digit = "if(size(f) = 0, '00', lpad(hex(1 + pmod(xxhash64(f), 255)), 2, '0'))"
     inner = f"transform(sequence(0, 3), k -> transform(array({subset}), f -> {digit})[0])"
     each = f"transform(sequence(0, 7), g -> transform(array({group}), q -> array_join({inner}, ''))[0])"
-    last = f"_level_{LEVELS - 1}"
     none = "00" * SUBSETS
     digits = []
     for level in range(LEVELS):
-        held, joined = f"_level_{level}", f"array_join({each}, '')"
-        if held != last:
-            further = f"filter({last}, x -> (shiftright(x, 8) & {(1 << 2 * (LEVELS + level)) - 1}) = 0)"
-            held = f"if(size({last}) > {LEVEL_TERMS}, {further}, {held})"
-            joined = f"if(size(a) > {LEVEL_TERMS}, '{none}', {joined})"
-        digits.append(F.expr(f"transform(array({held}), a -> {joined})[0]"))
+        left_out = "size(a) = 0" if level == LEVELS - 1 else f"size(a) = 0 or size(a) > {LEVEL_TERMS}"
+        joined = f"if({left_out}, '{none}', array_join({each}, ''))"
+        digits.append(F.expr(f"transform(array(_level_{level}), a -> {joined})[0]"))
     return found.withColumn(name, F.concat(*digits)).select(*kept, name)
 
 

@@ -168,7 +168,7 @@ def score_block(order: int, backoff: float, key_type: pa.DataType):
         logs[rest] = -np.log(np.maximum(others[0][rest], 1))
         logs += steps * np.log(backoff)
         size = len(grams.counts)
-        sums = np.bincount(grams.document, logs, size)
+        sums = np.bincount(grams.document, logs, size).astype(float)  # of no words, integers
         unseen = np.bincount(grams.document, level == 0, size).astype(np.int64)
         highest = np.bincount(grams.document, level == order, size).astype(np.int64)
         mean = sums / np.maximum(grams.counts, 1)

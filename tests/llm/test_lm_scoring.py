@@ -60,3 +60,12 @@ def test_few_rows(spark):
     (row,) = score_documents(docs).collect()
     assert row.n_unseen == 3
     assert score_documents(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("texts", [[""], [None], ["", None, " \n"], ["", "a b", None]])
+def test_blocks_without_words(spark, texts):
+    """Documents without words score 0, also where no document of their block has any."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in score_documents(docs).collect():
+        if texts[r.doc_id] != "a b":
+            assert tuple(r)[1:] == (0, 0.0, None, 0, 0)
