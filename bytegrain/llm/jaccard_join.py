@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegrain.llm.arrow import ddl, slices
+from bytegrain.llm.arrow import ddl, pack, slices, unpack
 from bytegrain.llm.components import connected_components
 from bytegrain.operators.ordering import with_rank
 from bytegrain.session import Stage
@@ -26,6 +26,9 @@ LEAF = 16  # sets of a leaf of the tree, and children of a node
 PAGE = 512  # sets of a page, at most
 KNOWN_WORDS = 1 << 19
 BROADCAST_NODES = 2_000_000  # 16 bytes each
+BLOCK_SIGNATURES = 1 << 21  # of a block, at least
+RANGE_TOKENS = 1 << 24  # tokens of all sets for each range of signatures
+PART_ROWS = 1 << 18  # rows with bitmaps that are compared in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,57 +147,134 @@ def signatures(tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def signature_rows(sets: DataFrame, percent: int) -> DataFrame:
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_tokens"):
-                nodes, values = [], [np.zeros(0, np.uint64)]
-                for n, node, packed in zip(
-                    *(part.column(c).to_pylist() for c in ("_n", "_node", "_tokens"))
-                ):
-                    found = signatures(unpack_tokens(packed), n, percent)
-                    values.append(found)
-                    nodes.append(np.full(len(found), node, np.int64))
-                flat = np.concatenate(values).view(np.int64)
-                owner = np.concatenate([np.zeros(0, np.int64), *nodes])
-                yield pa.record_batch([pa.array(flat), pa.array(owner)], ["sig", "node"])
+def least_shared(n: int, filled: int, percent: int) -> int:
+    """How many signatures of its own band two linked sets share at least."""
+    buckets, spare = bucket_count(band(n, percent), percent)
+    empty = buckets - filled
+    return max(spare + 1 - (empty if empty <= spare else 0), 1)
+
+
+class Blocks:
+    """Collects signatures of many sets and packs them by range of the signature."""
+
+    def __init__(self, ranges: int):
+        self.ranges = ranges
+        self.clear()
+
+    def clear(self) -> None:
+        self.nodes, self.needs, self.values, self.held = [], [], [], 0
+
+    def add(self, node: int, need: int, values: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.needs.append(need)
+        self.values.append(values)
+        self.held += len(values)
+
+    def packed(self) -> pa.RecordBatch:
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.values])
+        owner = np.repeat(np.arange(len(self.values)), list(map(len, self.values)))
+        of_range = ((flat >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+        low = flat & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((low, of_range))
+        edges = np.searchsorted(of_range[order], np.arange(self.ranges + 1))
+        nodes, needs = np.array(self.nodes, "<i8"), np.array(self.needs, np.uint32)
+        found = [(r, order[edges[r] : edges[r + 1]]) for r in range(self.ranges) if edges[r] < edges[r + 1]]
+        blobs = []
+        for _, part in found:
+            owners, local = np.unique(owner[part], return_inverse=True)
+            steps = np.diff(low[part], prepend=np.uint64(0))
+            blobs.append(pack(steps, local, needs[owners], blob=nodes[owners].tobytes()))
+        self.clear()
+        return pa.record_batch(
+            [pa.array([r for r, _ in found], pa.int32()), pa.array(blobs, pa.binary())], ["range", "block"]
+        )
 
-    held = sets.where("_tokens IS NOT NULL").select("_n", "_node", "_tokens")
-    return held.mapInArrow(explode, "sig bigint, node bigint")
 
+def shared_signatures(sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, hub, need): the signatures that several sets have, with the least of these
+    sets, `hub`.
 
-def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label): sets that share signatures, directly or through others.
+    Signatures go to the ranges of their hash packed by block, some 6 bytes each; 32 bits are
+    kept within a range, and an accidental match only makes a further candidate.
+    """
+    spark = sets.sparkSession
+    held = sets.where("_tokens IS NOT NULL").select("_n", "_node", "_tokens")
+    tokens = held.agg(F.sum("_n").alias("n")).first().n or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
 
-    All links lie within clusters. A shared signature makes edges to its least set only.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(ranges)
+        for batch in batches:
+            for part in slices(batch, "_tokens"):
+                for n, node, packed in zip(*(part.column(c).to_pylist() for c in ("_n", "_node", "_tokens"))):
+                    tokens = unpack_tokens(packed)
+                    filled = filled_buckets(tokens, n, percent)
+                    blocks.add(node, least_shared(n, filled, percent), signatures(tokens, n, percent))
+                if blocks.held >= BLOCK_SIGNATURES:
+                    yield blocks.packed()
+        yield blocks.packed()
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        lows, nodes, needs = [], [], []
+        for block in table.column("block"):
+            (steps, local, need), names = unpack(block.as_py())
+            lows.append(np.cumsum(steps, dtype=np.int64))
+            nodes.append(np.frombuffer(names, "<i8")[local])
+            needs.append(need[local])
+        low, node, need = map(np.concatenate, (lows, nodes, needs))
+        order = np.lexsort((node, low))
+        low, node, need = low[order], node[order], need[order]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
+        low, node, need = low[fresh], node[fresh], need[fresh]
+        starts = np.flatnonzero(np.diff(low, prepend=-1))
+        sizes = np.diff(np.append(starts, len(low)))
+        several = np.repeat(sizes > 1, sizes)
+        sig = low + (np.int64(key[0].as_py()) << np.int64(32))
+        columns = [sig, node, np.repeat(node[starts], sizes), need.astype(np.int64)]
+        return pa.table([pa.array(c[several]) for c in columns], ["sig", "node", "hub", "need"])
+
+    blocks = held.mapInArrow(deal, "range int, block binary")
+    return blocks.groupBy("range").applyInArrow(meet, "sig bigint, node bigint, hub bigint, need bigint")
+
+
+def filled_buckets(tokens: np.ndarray, n: int, percent: int) -> int:
+    buckets, _ = bucket_count(band(n, percent), percent)
+    place = (tokens * np.uint64(buckets)) >> np.uint64(TOKEN_BITS)
+    return int((np.diff(place) > 0).sum()) + 1
+
+
+def likely_clusters(shared: DataFrame) -> DataFrame:
+    """(node, cluster): sets that share as many signatures with a hub as linked sets do.
+
+    Each set follows the hub that it shares most with, so a group of any size makes one edge
+    for each of its sets. Clusters only decide which sets are compared first.
     """
-    rows = signature_rows(sets, percent).repartition("sig")
-    hub = F.expr("first(node) OVER (PARTITION BY sig ORDER BY node)")
-    edges = rows.select("node", hub.alias("hub")).where("node <> hub")
-    return connected_components(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("k"), F.min("need").alias("need"))
+    best = met.where("k >= need").groupBy("node").agg(F.max(F.struct("k", "hub")).alias("best"))
+    edges = best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
+    return connected_components(edges, "clusters").select("node", F.col("label").alias("cluster"))
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    flags = np.zeros(BITS, np.uint8)
+    flags[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
 
 
 class Sets:
-    """Sets of a page or of two, with bitmaps, and which of them are known to be connected."""
+    """Sets of a page, by cluster and size, with bitmaps, and which of them are connected."""
 
     def __init__(self, table: pa.Table):
         column = {c: table.column(c).to_pylist() for c in table.column_names}
-        order = sorted(
-            range(table.num_rows), key=lambda i: (column["cluster"][i], column["n"][i], column["node"][i])
-        )
+        places = {(c, node): i for i, (c, node) in enumerate(zip(column["cluster"], column["node"]))}
+        order = sorted(places.values(), key=lambda i: (column["cluster"][i], column["n"][i], column["node"][i]))
         self.clusters = [column["cluster"][i] for i in order]
         self.nodes = [column["node"][i] for i in order]
         self.sizes = np.array([column["n"][i] for i in order], np.int64)
         self.tokens = [unpack_tokens(column["tokens"][i]) for i in order]
-        self.pages = np.array([column["page"][i] for i in order], np.int64)
-        self.bits = np.zeros((len(order), BITS // 64), np.uint64)
-        for i, tokens in enumerate(self.tokens):
-            flags = np.zeros(BITS, np.uint8)
-            flags[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
-            self.bits[i] = np.packbits(flags).view(np.uint64)
+        self.bits = np.frombuffer(b"".join(map(bitmap, self.tokens)), np.uint64).reshape(len(order), -1)
         self.parent: dict[int, int] = {}
-        for i, start in enumerate(order):
-            self.join(self.nodes[i], column["comp"][start])
 
     def root(self, node: int) -> int:
         parent = self.parent
@@ -242,17 +322,14 @@ def possible(a: TreeNode, b: TreeNode, percent: int) -> bool:
     return (100 + percent) * most >= percent * (a.low + b.low)
 
 
-def link(sets: Sets, percent: int, across: bool) -> list[tuple[int, int]]:
-    """Links that connect what isn't connected yet, by dual traversal of each cluster's tree.
+def link(sets, percent: int, leaves) -> list[tuple[int, int]]:
+    """Pairs that `leaves` finds, by dual traversal of each cluster's tree.
 
-    With `across` only sets of different pages are compared.
+    Node pairs without a possible link are left out, and those that lie in one component.
     """
     edges: list[tuple[int, int]] = []
-    start = 0
-    while start < len(sets.nodes):
-        stop = start + 1
-        while stop < len(sets.nodes) and sets.clusters[stop] == sets.clusters[start]:
-            stop += 1
+    borders = [i for i, c in enumerate(sets.clusters) if i == 0 or c != sets.clusters[i - 1]]
+    for start, stop in zip(borders, [*borders[1:], len(sets.clusters)]):
         root = build_tree(sets, start, stop)
         stack = [(root, root)]
         while stack:
@@ -268,79 +345,134 @@ def link(sets: Sets, percent: int, across: bool) -> list[tuple[int, int]]:
                     (x, y) for i, x in enumerate(left) for y in (right[i:] if a is b else right)
                 ]
             else:
-                edges += link_leaves(sets, a, b, percent, across)
-        start = stop
+                edges += leaves(sets, a, b, percent)
     return edges
 
 
-def link_leaves(sets: Sets, a: TreeNode, b: TreeNode, percent: int, across: bool):
+def possible_pairs(sets, a: TreeNode, b: TreeNode, percent: int) -> list[tuple[int, int]]:
+    """Places of the pairs of two leaves whose bitmaps and sizes allow a link."""
     left, right = np.arange(a.start, a.stop), np.arange(b.start, b.stop)
     common = np.bitwise_count(sets.bits[left][:, None] & sets.bits[right][None]).sum(2, dtype=np.int64)
-    own = np.bitwise_count(sets.bits).sum(1, dtype=np.int64)
-    most = np.minimum(
-        (sets.sizes - own)[left][:, None] + common, (sets.sizes - own)[right][None] + common
-    )
+    own = {i: int(np.bitwise_count(sets.bits[i]).sum()) for i in {*left.tolist(), *right.tolist()}}
+    beyond = [sets.sizes[side] - np.array([own[i] for i in side.tolist()]) for side in (left, right)]
+    most = np.minimum(beyond[0][:, None] + common, beyond[1][None] + common)
     total = sets.sizes[left][:, None] + sets.sizes[right][None]
     maybe = ((100 + percent) * most >= percent * total) & (left[:, None] < right[None])
-    if across:
-        maybe &= sets.pages[left][:, None] != sets.pages[right][None]
+    return [(int(left[i]), int(right[j])) for i, j in np.argwhere(maybe).tolist()]
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    overlap = len(np.intersect1d(a, b, assume_unique=True))
+    return (100 + percent) * overlap >= percent * (len(a) + len(b))
+
+
+def link_leaves(sets: Sets, a: TreeNode, b: TreeNode, percent: int) -> list[tuple[int, int]]:
+    """Links of two leaves that connect what isn't connected yet."""
     edges = []
-    for i, j in np.argwhere(maybe).tolist():
-        x, y = int(left[i]), int(right[j])
-        if sets.root(sets.nodes[x]) == sets.root(sets.nodes[y]):
-            continue
-        overlap = len(np.intersect1d(sets.tokens[x], sets.tokens[y], assume_unique=True))
-        if (100 + percent) * overlap >= percent * int(sets.sizes[x] + sets.sizes[y]):
+    for x, y in possible_pairs(sets, a, b, percent):
+        if sets.root(sets.nodes[x]) != sets.root(sets.nodes[y]) and linked(sets.tokens[x], sets.tokens[y], percent):
             sets.join(sets.nodes[x], sets.nodes[y])
             edges.append((sets.nodes[x], sets.nodes[y]))
     return edges
 
 
-def links_of(groups: DataFrame, by: str, percent: int, across: bool) -> DataFrame:
+def edge_table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def links_in_pages(sets: DataFrame, clusters: DataFrame, percent: int, page: int) -> DataFrame:
+    """(a, b): links inside pages of `page` sets of a cluster, in the order of their sizes.
+
+    The hub of a cluster comes to all its pages and the first set of a page to the one before,
+    so that pages of near copies are connected. Tokens move once.
+    """
+    sizes = sets.where("_tokens IS NOT NULL").groupBy(F.col("_node").alias("node")).agg(F.first("_n").alias("n"))
+    named = Stage(clusters.join(sizes, "node"), "named").df
+    ranked = with_rank(named, "cluster", "n", "node")
+    own = ranked.select("cluster", "node", F.expr(f"rank div {page}").alias("page"))
+    before = ranked.where(f"rank % {page} = 0 AND rank > 0").select(
+        "cluster", "node", F.expr(f"rank div {page} - 1").alias("page")
+    )
+    spread = own.groupBy("cluster").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high")
+    hubs = spread.select("cluster", F.col("cluster").alias("node"), F.explode(F.sequence("low", "high")).alias("page"))
+    placed = Stage(own.unionByName(before).unionByName(hubs).distinct(), "pages").df
+    small = placed.count() <= BROADCAST_NODES
+    held = sets.where("_tokens IS NOT NULL").select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.col("_tokens").alias("tokens"))
+    members = held.join(F.broadcast(placed) if small else placed, "node")
+
     def find(table: pa.Table) -> pa.Table:
-        found = link(Sets(table), percent, across)
-        return pa.table(
-            {
-                "a": pa.array([a for a, _ in found], pa.int64()),
-                "b": pa.array([b for _, b in found], pa.int64()),
-            }
-        )
+        return edge_table(link(Sets(table), percent, link_leaves))
+
+    return members.groupBy("page").applyInArrow(find, "a bigint, b bigint")
 
-    columns = (by, "page", "cluster", "node", "n", "tokens", "comp")
-    kept = [c for i, c in enumerate(columns) if c not in columns[:i]]
-    return groups.select(*kept).groupBy(by).applyInArrow(find, "a bigint, b bigint")
 
+class Bitmaps:
+    """Sets of the signatures of a range, as bitmaps, sizes and components."""
 
-def page_pairs(pages: DataFrame, percent: int) -> DataFrame:
-    """(left, right): pages of one cluster that may still hold an unconnected link.
+    def __init__(self, table: pa.Table):
+        column = {c: table.column(c).to_pylist() for c in ("sig", "node", "n", "comp", "bits")}
+        order = sorted(range(table.num_rows), key=lambda i: (column["sig"][i], column["n"][i], column["node"][i]))
+        self.clusters = [column["sig"][i] for i in order]
+        self.nodes = [column["node"][i] for i in order]
+        self.sizes = np.array([column["n"][i] for i in order], np.int64)
+        self.bits = np.frombuffer(b"".join(column["bits"][i] for i in order), np.uint64).reshape(len(order), -1)
+        self.comps = {column["node"][i]: column["comp"][i] for i in order}
+
+    def root(self, node: int) -> int:
+        return self.comps[node]
 
-    Dual traversal above pages: a node covers 16 of the level below. A pair of nodes goes on
-    unless their sizes are too far apart or both lie wholly in one component.
-    `pages`: (cluster, page, low, high, comp), comp null if the page has several.
+
+def pairs_across(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets of different components that share a signature and may be linked.
+
+    Only signatures whose sets lie in several components are left. Their sets meet as bitmaps,
+    in trees again; tokens don't move here.
     """
-    levels = [pages.withColumnRenamed("page", "at")]
-    while levels[-1].groupBy("cluster").count().where("count > 1").limit(1).count():
-        comp = F.when(
-            (F.count("*") == F.count("comp")) & (F.min("comp") == F.max("comp")), F.min("comp")
-        )
-        above = levels[-1].groupBy("cluster", F.shiftright("at", 4).alias("at"))
-        levels.append(
-            above.agg(F.min("low").alias("low"), F.max("high").alias("high"), comp.alias("comp"))
-        )
-    pairs = levels[-1].select("cluster", F.col("at").alias("left"), F.col("at").alias("right"))
-    for nodes in reversed(levels[:-1]):
-        up = F.shiftright("at", 4).alias("up")
-        x = nodes.select("cluster", up, *[F.col(c).alias(f"x_{c}") for c in ("at", "low", "high", "comp")])
-        y = nodes.select("cluster", up, *[F.col(c).alias(f"y_{c}") for c in ("at", "low", "high", "comp")])
-        met = pairs.join(x.withColumnRenamed("up", "left"), ["cluster", "left"]).join(
-            y.withColumnRenamed("up", "right"), ["cluster", "right"]
-        )
-        same = F.coalesce(F.col("x_comp") == F.col("y_comp"), F.lit(False))
-        near = F.col("x_high") * 100 >= F.col("y_low") * percent  # sizes grow along pages
-        pairs = met.where((F.col("x_at") <= F.col("y_at")) & near & ~same).select(
-            "cluster", F.col("x_at").alias("left"), F.col("y_at").alias("right")
-        )
-    return pairs.where("left < right").select("left", "right").distinct()
+    comp = labels.select("node", F.col("label").alias("comp"))
+    known = shared.select("sig", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = Stage(known, "known").df
+    mixed = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+    rows = Stage(known.join(mixed, "sig"), "mixed").df
+    wanted = rows.select("node").distinct()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [bitmap(unpack_tokens(t)) for t in batch.column("_tokens").to_pylist()]
+            yield pa.record_batch([batch.column("_node"), batch.column("_n"), pa.array(maps, pa.binary())], ["node", "n", "bits"])
+
+    held = sets.where("_tokens IS NOT NULL").select("_node", "_n", "_tokens")
+    drawn = held.join(wanted, held["_node"] == wanted["node"], "left_semi").mapInArrow(draw, "node bigint, n bigint, bits binary")
+    drawn = drawn.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    def find(table: pa.Table) -> pa.Table:
+        sets = Bitmaps(table)
+
+        def apart(_, a: TreeNode, b: TreeNode, percent: int) -> list[tuple[int, int]]:
+            pairs = ((sets.nodes[x], sets.nodes[y]) for x, y in possible_pairs(sets, a, b, percent))
+            return [(min(p), max(p)) for p in pairs if sets.comps[p[0]] != sets.comps[p[1]]]
+
+        return edge_table(sorted(set(link(sets, percent, apart))))
+
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    met = rows.join(drawn, "node").withColumn("_part", F.pmod(F.xxhash64("sig"), F.lit(parts)))
+    return met.groupBy("_part").applyInArrow(find, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, by their tokens."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = sets.where("_tokens IS NOT NULL").join(ends, F.col("_node") == F.col("node"), "left_semi")
+    tokens = Stage(held.groupBy("_node").agg(F.first("_tokens").alias("_tokens")), "ends").df
+    left = tokens.select(F.col("_node").alias("a"), F.col("_tokens").alias("x"))
+    right = tokens.select(F.col("_node").alias("b"), F.col("_tokens").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")))
+            found = [(a, b) for a, b, x, y in rows if linked(unpack_tokens(x), unpack_tokens(y), percent)]
+            yield from edge_table(found).to_batches()
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -362,39 +494,28 @@ def jaccard_components(
 
     1. Texts become sets of hashes (a staged table); equal sets are one set from here on.
     2. Tokens of a set are dealt to so many buckets that linked sets must agree in a filled one
-       (pigeonhole on their largest difference). Sets that share a bucket's hash are clustered
-       by edges to the least set, so a group of any size makes no pairs.
-    3. Sets of clusters are ordered by cluster and size into pages. A page is searched
-       by dual traversal of signature trees, then each page with the next, then all pairs of
-       pages that the levels above pages can't rule out. Pairs of nodes that lie in one
-       component already are skipped, which keeps large groups of near copies linear.
+       (pigeonhole on their largest difference). Sets that agree share a signature, the hash of
+       the bucket. Signatures of one set only are done with.
+    3. Sets that share as many signatures with a hub as linked sets do are put into pages, by
+       cluster and size, and a page is searched by dual traversal of signature trees.
+    4. Sets that share a signature and are not connected yet are compared as bitmaps, by trees
+       over the sets of each signature; pairs that may be linked are verified by their tokens.
+    Pairs of nodes that lie in one component already are skipped, which keeps large groups of
+    near copies linear.
     """
-    sets = Stage(set_table(docs, key, text, width), "sets").df
-    clusters = Stage(candidate_clusters(sets, percent), "clusters").df
-    small = clusters.count() <= BROADCAST_NODES
-    named = clusters.select(F.col("node").alias("_node"), F.col("label").alias("cluster"))
-    members = (
-        sets.where("_tokens IS NOT NULL")
-        .join(F.broadcast(named) if small else named, "_node")
-        .groupBy(F.col("_node").alias("node"))
-        .agg(F.first("cluster").alias("cluster"), F.first("_n").alias("n"), F.first("_tokens").alias("tokens"))
-    )
-    members = Stage(members, "members").df
-    ranked = with_rank(members.select("cluster", "n", "node"), "cluster", "n", "node")
-    paged = members.join(
-        ranked.select("node", F.expr(f"rank div {page}").alias("page")), "node"
-    )
-    paged = Stage(paged, "pages").df
-    alone = paged.withColumn("comp", F.col("node"))
-    found = Stage(links_of(alone, "page", percent, False), "links-1").df
-
-    found = _link_across(paged, found, percent, adjacent=True)
-    found = _link_across(paged, found, percent, adjacent=False)
-
-    labels = connected_components(found, "linked").select(
-        F.col("node").alias("_linked"), F.col("label")
-    )
-    rows = sets.select("_key", "_n", "_node")
+    sets = Stage(set_table(docs, key, text, width), "sets")
+    shared = Stage(shared_signatures(sets.df, percent), "shared")
+    clusters = likely_clusters(shared.df)
+    found = Stage(links_in_pages(sets.df, clusters, percent, page), "links").df
+    labels = connected_components(found, "paged")
+    pairs = Stage(pairs_across(shared.df, sets.df, labels, percent), "pairs").df
+    shared.drop()
+    if not pairs.isEmpty():
+        more = Stage(verified(pairs, sets.df, percent), "more-links").df
+        labels = connected_components(found.unionByName(more), "linked")
+    labels = labels.select(F.col("node").alias("_linked"), F.col("label"))
+    rows = Stage(sets.df.select("_key", "_n", "_node"), "rows").df
+    sets.drop()
     least = rows.where("_node IS NOT NULL").groupBy("_node").agg(F.min("_key").alias("_least"))
     of_node = Stage(
         least.join(labels, F.col("_node") == F.col("_linked"), "left").select(
@@ -409,28 +530,3 @@ def jaccard_components(
         F.col("_n").alias("n_shingles"),
         F.coalesce("_component", "_key").alias("component_id"),
     )
-
-
-def _link_across(paged: DataFrame, found: DataFrame, percent: int, adjacent: bool) -> DataFrame:
-    """Links between pages added to those found: of pages that follow each other, or of all
-    pairs that may still matter."""
-    spread = paged.groupBy("cluster").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    spread = spread.where("first < last").select("cluster", "first", "last")
-    if spread.isEmpty():
-        return found
-    labels = connected_components(found, "paged")
-    narrow = paged.join(spread, "cluster").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    narrow = narrow.select("page", "cluster", "node", "n", "tokens", "comp")
-    ends = F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp")
-    nodes = narrow.groupBy("cluster", "page").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), ends
-    )
-    pairs = page_pairs(nodes, percent)
-    if adjacent:
-        pairs = pairs.where(F.col("right") == F.col("left") + 1)
-    pairs = Stage(pairs.withColumn("pair", F.monotonically_increasing_id()), "page-pairs").df
-    if pairs.isEmpty():
-        return found
-    sides = pairs.select("pair", F.explode(F.array("left", "right")).alias("page"))
-    more = links_of(narrow.join(sides, "page"), "pair", percent, True)
-    return Stage(found.unionByName(more), "links").df
