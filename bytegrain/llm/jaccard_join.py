@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from bytegrain.session import Stage
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TOKEN_BITS = 40  # of a shingle's 64-bit hash, as stored
 SPARE = 3  # buckets beyond the least number, so that empty buckets needn't match
+SPARE_SHARE = 24  # more than one in so many buckets is hardly empty
 BITS = 1024  # of a bitmap
 LEAF = 16  # sets of a leaf of the tree, and children of a node
 PAGE = 512  # sets of a page, at most
@@ -124,7 +126,7 @@ def bucket_count(of_band: int, percent: int) -> tuple[int, int]:
     """
     upper = (100 / (percent - 0.01)) ** (of_band + 1)
     differ = int((100 - percent) * 2 * upper / (100 + percent))
-    spare = min(SPARE, (differ + 1) // 8)
+    spare = min(max(SPARE, (differ + 1) // SPARE_SHARE), (differ + 1) // 8)
     return differ + 1 + spare, spare
 
 
@@ -148,10 +150,12 @@ def signatures(tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
 
 
 def least_shared(n: int, filled: int, percent: int) -> int:
-    """How many signatures of its own band two linked sets share at least."""
+    """How many signatures a set shares at least with one that is linked and no larger.
+
+    Of spare + 1 equal buckets those that are empty in the set may have given no signature.
+    """
     buckets, spare = bucket_count(band(n, percent), percent)
-    empty = buckets - filled
-    return max(spare + 1 - (empty if empty <= spare else 0), 1)
+    return spare + 1 - min(buckets - filled, spare)
 
 
 class Blocks:
@@ -256,12 +260,29 @@ def likely_clusters(shared: DataFrame) -> DataFrame:
     return connected_components(edges, "clusters").select("node", F.col("label").alias("cluster"))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    flags = np.zeros(BITS, np.uint8)
-    flags[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
+def bitmap(tokens: np.ndarray, bits: int = BITS) -> bytes:
+    flags = np.zeros(bits, np.uint8)
+    flags[(tokens % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
 
 
+def fine_bitmap(packed: bytes) -> bytes:
+    """A set's size and a bitmap of four bits or more for each token, a power of two."""
+    tokens = unpack_tokens(packed)
+    return len(tokens).to_bytes(8, "little") + bitmap(tokens, max(BITS, 1 << (4 * len(tokens) - 1).bit_length()))
+
+
+def maybe_linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two fine bitmaps allow a link; the longer is folded to the length of the other."""
+    sizes = [int.from_bytes(x[:8], "little") for x in (a, b)]
+    maps = [np.frombuffer(x, np.uint64, offset=8) for x in (a, b)]
+    width = min(map(len, maps))
+    maps = [np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps]
+    common = int(np.bitwise_count(maps[0] & maps[1]).sum())
+    most = min(n - int(np.bitwise_count(m).sum()) + common for n, m in zip(sizes, maps))
+    return (100 + percent) * most >= percent * sum(sizes)
+
+
 class Sets:
     """Sets of a page, by cluster and size, with bitmaps, and which of them are connected."""
 
@@ -330,6 +351,9 @@ def link(sets, percent: int, leaves) -> list[tuple[int, int]]:
     edges: list[tuple[int, int]] = []
     borders = [i for i, c in enumerate(sets.clusters) if i == 0 or c != sets.clusters[i - 1]]
     for start, stop in zip(borders, [*borders[1:], len(sets.clusters)]):
+        if stop - start <= LEAF:
+            edges += leaves(sets, range(start, stop), range(start, stop), percent)
+            continue
         root = build_tree(sets, start, stop)
         stack = [(root, root)]
         while stack:
@@ -349,7 +373,7 @@ def link(sets, percent: int, leaves) -> list[tuple[int, int]]:
     return edges
 
 
-def possible_pairs(sets, a: TreeNode, b: TreeNode, percent: int) -> list[tuple[int, int]]:
+def possible_pairs(sets, a: TreeNode | range, b: TreeNode | range, percent: int) -> list[tuple[int, int]]:
     """Places of the pairs of two leaves whose bitmaps and sizes allow a link."""
     left, right = np.arange(a.start, a.stop), np.arange(b.start, b.stop)
     common = np.bitwise_count(sets.bits[left][:, None] & sets.bits[right][None]).sum(2, dtype=np.int64)
@@ -410,26 +434,27 @@ class Bitmaps:
     """Sets of the signatures of a range, as bitmaps, sizes and components."""
 
     def __init__(self, table: pa.Table):
-        column = {c: table.column(c).to_pylist() for c in ("sig", "node", "n", "comp", "bits")}
+        column = {c: table.column(c).to_pylist() for c in ("sig", "node", "n", "comp", "need", "bits")}
         order = sorted(range(table.num_rows), key=lambda i: (column["sig"][i], column["n"][i], column["node"][i]))
         self.clusters = [column["sig"][i] for i in order]
         self.nodes = [column["node"][i] for i in order]
         self.sizes = np.array([column["n"][i] for i in order], np.int64)
         self.bits = np.frombuffer(b"".join(column["bits"][i] for i in order), np.uint64).reshape(len(order), -1)
         self.comps = {column["node"][i]: column["comp"][i] for i in order}
+        self.needs = {column["node"][i]: column["need"][i] for i in order}
 
     def root(self, node: int) -> int:
         return self.comps[node]
 
 
 def pairs_across(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of different components that share a signature and may be linked.
+    """(a, b): pairs of sets of different components that may be linked.
 
     Only signatures whose sets lie in several components are left. Their sets meet as bitmaps,
-    in trees again; tokens don't move here.
+    in trees again; tokens don't move here. Pairs must share as many signatures as linked sets do.
     """
     comp = labels.select("node", F.col("label").alias("comp"))
-    known = shared.select("sig", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = shared.select("sig", "node", "need").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     known = Stage(known, "known").df
     mixed = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     rows = Stage(known.join(mixed, "sig"), "mixed").df
@@ -451,30 +476,50 @@ def pairs_across(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent:
             pairs = ((sets.nodes[x], sets.nodes[y]) for x, y in possible_pairs(sets, a, b, percent))
             return [(min(p), max(p)) for p in pairs if sets.comps[p[0]] != sets.comps[p[1]]]
 
-        return edge_table(sorted(set(link(sets, percent, apart))))
+        often = Counter(link(sets, percent, apart))
+        need = [min(sets.needs[a], sets.needs[b]) for a, b in often]
+        edges = edge_table(list(often))
+        return edges.append_column("k", pa.array(often.values(), pa.int64())).append_column("need", pa.array(need, pa.int64()))
 
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
     met = rows.join(drawn, "node").withColumn("_part", F.pmod(F.xxhash64("sig"), F.lit(parts)))
-    return met.groupBy("_part").applyInArrow(find, "a bigint, b bigint").distinct()
+    found = met.groupBy("_part").applyInArrow(find, "a bigint, b bigint, k bigint, need bigint")
+    counted = found.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need"))
+    return counted.where("k >= need").select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked, by their tokens."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = sets.where("_tokens IS NOT NULL").join(ends, F.col("_node") == F.col("node"), "left_semi")
-    tokens = Stage(held.groupBy("_node").agg(F.first("_tokens").alias("_tokens")), "ends").df
-    left = tokens.select(F.col("_node").alias("a"), F.col("_tokens").alias("x"))
-    right = tokens.select(F.col("_node").alias("b"), F.col("_tokens").alias("y"))
+def compared(pairs: DataFrame, contents: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose contents pass a test; `contents`: (node, held)."""
+    left = contents.select(F.col("node").alias("a"), F.col("held").alias("x"))
+    right = contents.select(F.col("node").alias("b"), F.col("held").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")))
-            found = [(a, b) for a, b, x, y in rows if linked(unpack_tokens(x), unpack_tokens(y), percent)]
-            yield from edge_table(found).to_batches()
+            yield from edge_table([(a, b) for a, b, x, y in rows if test(x, y)]).to_batches()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked: first by finer bitmaps, a tenth of the tokens, which settle
+    nearly all pairs that aren't, then by tokens."""
+
+    def contents(of: DataFrame) -> DataFrame:
+        ends = of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = sets.where("_tokens IS NOT NULL").join(ends, F.col("_node") == F.col("node"), "left_semi")
+        return held.groupBy(F.col("_node").alias("node")).agg(F.first("_tokens").alias("held"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [fine_bitmap(packed) for packed in batch.column("held").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(maps, pa.binary())], ["node", "held"])
+
+    drawn = Stage(contents(pairs).mapInArrow(draw, "node bigint, held binary"), "bitmaps").df
+    left = Stage(compared(pairs, drawn, lambda x, y: maybe_linked(x, y, percent)), "near-pairs").df
+    return compared(left, contents(left), lambda x, y: linked(unpack_tokens(x), unpack_tokens(y), percent))
+
+
 def jaccard_components(
     docs: DataFrame,
     key: str = "doc_id",
@@ -499,7 +544,8 @@ def jaccard_components(
     3. Sets that share as many signatures with a hub as linked sets do are put into pages, by
        cluster and size, and a page is searched by dual traversal of signature trees.
     4. Sets that share a signature and are not connected yet are compared as bitmaps, by trees
-       over the sets of each signature; pairs that may be linked are verified by their tokens.
+       over the sets of each signature; pairs that may be linked, and share enough signatures, are
+       compared by finer bitmaps, and those left by their tokens.
     Pairs of nodes that lie in one component already are skipped, which keeps large groups of
     near copies linear.
     """
