@@ -21,16 +21,18 @@ from bytegrain.session import Stage
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TOKEN_BITS = 40  # of a shingle's 64-bit hash, as stored
-SPARE = 3  # buckets beyond the least number, so that empty buckets needn't match
-SPARE_SHARE = 24  # more than one in so many buckets is hardly empty
+GROUP = 4  # buckets whose pairs are signatures
+SPARE = 3  # shared pairs beyond the one that is needed, so that empty buckets needn't match
+SPARE_SHARE = 24  # for large sets one for so many buckets
 BITS = 1024  # of a bitmap
+ROW_BITS = 512  # of one that goes with each signature
 LEAF = 16  # sets of a leaf of the tree, and children of a node
 PAGE = 512  # sets of a page, at most
 KNOWN_WORDS = 1 << 19
 BROADCAST_NODES = 2_000_000  # 16 bytes each
-BLOCK_SIGNATURES = 1 << 21  # of a block, at least
-RANGE_TOKENS = 1 << 24  # tokens of all sets for each range of signatures
-PART_ROWS = 1 << 18  # rows with bitmaps that are compared in one task
+BLOCK_SIGNATURES = 1 << 20  # of a block, at least
+RANGE_TOKENS = 1 << 22  # tokens of all sets for each range of signatures
+PART_ROWS = 1 << 16  # rows with bitmaps that are compared in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,43 +121,54 @@ def band(n: int, percent: int) -> int:
 
 
 def bucket_count(of_band: int, percent: int) -> tuple[int, int]:
-    """Buckets of a band, and how many of them may be empty in a set without being matched.
+    """Buckets of a band, and how many pairs of neighbouring buckets linked sets share at least.
 
-    Linked sets of the band and the one before differ in at most d tokens, so of d + 1 + e
-    buckets at least e + 1 hold the same tokens in both.
+    Linked sets of the band and the one before differ in at most d tokens, so all but d buckets
+    hold the same tokens in both. Buckets lie in groups of GROUP; what exceeds one equal bucket
+    in each group makes a pair of equal ones inside a group.
     """
     upper = (100 / (percent - 0.01)) ** (of_band + 1)
     differ = int((100 - percent) * 2 * upper / (100 + percent))
+    if differ == 0:
+        return 1, 0  # only equal sets are linked
     spare = min(max(SPARE, (differ + 1) // SPARE_SHARE), (differ + 1) // 8)
-    return differ + 1 + spare, spare
+    buckets = differ + 2 + spare
+    while buckets - differ - -(-buckets // GROUP) < 1 + spare:
+        buckets += 1
+    return buckets, buckets - differ - -(-buckets // GROUP)
 
 
-def signatures(tokens: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """Hashes of the buckets of a set in its band and the next; linked sets share one."""
-    found = []
+def signatures(tokens: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, int]:
+    """(signatures of a set in its band and the next, how many a linked set that is no larger
+    shares at least): hashes of the pairs of buckets of each group.
+
+    Pairs of empty buckets give none, unless there are as many as linked sets need to share.
+    """
+    found, need = [], 1
     mixed = mix(tokens)
     for of_band in (band(n, percent), band(n, percent) + 1):
-        buckets, spare = bucket_count(of_band, percent)
+        buckets, least = bucket_count(of_band, percent)
         if buckets == 1:
-            continue  # only equal sets are linked
+            continue
         edges = (np.arange(buckets, dtype=np.uint64) << np.uint64(TOKEN_BITS)) // np.uint64(buckets)
         starts = np.searchsorted(tokens, edges)
         filled = np.diff(np.append(starts, len(tokens))) > 0
         sums = np.zeros(buckets, np.uint64)
         sums[filled] = np.add.reduceat(mixed, starts[filled])
-        place = np.arange(buckets, dtype=np.uint64) + np.uint64(of_band << 32)
-        values = mix(sums + mix(place))
-        found.append(values[filled] if (~filled).sum() <= spare else values)
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def least_shared(n: int, filled: int, percent: int) -> int:
-    """How many signatures a set shares at least with one that is linked and no larger.
-
-    Of spare + 1 equal buckets those that are empty in the set may have given no signature.
-    """
-    buckets, spare = bucket_count(band(n, percent), percent)
-    return spare + 1 - min(buckets - filled, spare)
+        values = mix(sums + mix(np.arange(buckets, dtype=np.uint64) + np.uint64(of_band << 32)))
+        first = np.arange(buckets)
+        pairs, lost = [], 0
+        for step in range(1, GROUP):
+            i = first[(first % GROUP + step < GROUP) & (first + step < buckets)]
+            empty = ~(filled[i] | filled[i + step])
+            pairs.append((i, i + step, empty))
+            lost += int(empty.sum())
+        for i, j, empty in pairs:
+            kept = ~empty if lost < least else np.ones(len(i), bool)
+            found.append(mix(values[i[kept]] * np.uint64(3) + values[j[kept]]))
+        if of_band == band(n, percent):
+            need = max(least - lost, 1)
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), need
 
 
 class Blocks:
@@ -211,9 +224,8 @@ def shared_signatures(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "_tokens"):
                 for n, node, packed in zip(*(part.column(c).to_pylist() for c in ("_n", "_node", "_tokens"))):
-                    tokens = unpack_tokens(packed)
-                    filled = filled_buckets(tokens, n, percent)
-                    blocks.add(node, least_shared(n, filled, percent), signatures(tokens, n, percent))
+                    values, need = signatures(unpack_tokens(packed), n, percent)
+                    blocks.add(node, need, values)
                 if blocks.held >= BLOCK_SIGNATURES:
                     yield blocks.packed()
         yield blocks.packed()
@@ -242,12 +254,6 @@ def shared_signatures(sets: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(meet, "sig bigint, node bigint, hub bigint, need bigint")
 
 
-def filled_buckets(tokens: np.ndarray, n: int, percent: int) -> int:
-    buckets, _ = bucket_count(band(n, percent), percent)
-    place = (tokens * np.uint64(buckets)) >> np.uint64(TOKEN_BITS)
-    return int((np.diff(place) > 0).sum()) + 1
-
-
 def likely_clusters(shared: DataFrame) -> DataFrame:
     """(node, cluster): sets that share as many signatures with a hub as linked sets do.
 
@@ -462,7 +468,7 @@ def pairs_across(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = [bitmap(unpack_tokens(t)) for t in batch.column("_tokens").to_pylist()]
+            maps = [bitmap(unpack_tokens(t), ROW_BITS) for t in batch.column("_tokens").to_pylist()]
             yield pa.record_batch([batch.column("_node"), batch.column("_n"), pa.array(maps, pa.binary())], ["node", "n", "bits"])
 
     held = sets.where("_tokens IS NOT NULL").select("_node", "_n", "_tokens")
@@ -538,9 +544,9 @@ def jaccard_components(
     id unless all its members' keys are null. Other columns are not read.
 
     1. Texts become sets of hashes (a staged table); equal sets are one set from here on.
-    2. Tokens of a set are dealt to so many buckets that linked sets must agree in a filled one
-       (pigeonhole on their largest difference). Sets that agree share a signature, the hash of
-       the bucket. Signatures of one set only are done with.
+    2. Tokens of a set are dealt to so many buckets that linked sets must agree in two of a
+       group (pigeonhole on their largest difference). Sets that agree share a signature, the
+       hash of the pair of buckets. Signatures of one set only are done with.
     3. Sets that share as many signatures with a hub as linked sets do are put into pages, by
        cluster and size, and a page is searched by dual traversal of signature trees.
     4. Sets that share a signature and are not connected yet are compared as bitmaps, by trees
