@@ -28,7 +28,7 @@ BITS = 1024  # of a bitmap
 ROW_BITS = 512  # of one that goes with each signature
 LEAF = 16  # sets of a leaf of the tree, and children of a node
 PAGE = 512  # sets of a page, at most
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 BROADCAST_NODES = 2_000_000  # 16 bytes each
 BLOCK_SIGNATURES = 1 << 20  # of a block, at least
 RANGE_TOKENS = 1 << 22  # tokens of all sets for each range of signatures

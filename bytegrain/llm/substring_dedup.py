@@ -19,7 +19,7 @@ from bytegrain.session import Stage, shared_root
 
 LENGTH = 400
 GRAM = 64  # bytes of the strings whose least hash names a window
-PIECE = 1 << 20  # window starts that are hashed at a time
+PIECE = 1 << 18  # window starts that are hashed at a time
 RUN = 4096  # window starts of a run at most
 SORTED_BYTES = 1 << 18  # text of one suffix array, beyond its last group
 HOT_RUNS = 8192  # runs of one name beyond which its windows are compared by hash
