@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
-from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.mixing import cyclic_weights, plan_mix
+from bytegrain.llm.near_copies import near_copy_components
 from bytegrain.llm.substring_dedup import remove_repeats
 from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
 from bytegrain.session import Stage
@@ -45,7 +45,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select("*", hashes[0].alias("_one"), hashes[1].alias("_two"))
     keyed = rows.select(F.struct(flags[0].alias("_last"), "doc_id", "_one", "_two").alias("_row"), "text")
     found = Stage(
-        jaccard_components(keyed, key="_row", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT),
+        near_copy_components(keyed, key="_row", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT),
         "components",
     ).df
     gone = found.where("_row <> component_id").select("_row._one", "_row._two").distinct()
