@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -50,3 +52,12 @@ def unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
 def ddl(df: DataFrame, name: str) -> str:
     """The type of a column, for a schema string."""
     return df.schema[name].dataType.simpleString()
+
+
+def release() -> None:
+    """Give back memory that is no longer used; a worker outlives the task that took it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

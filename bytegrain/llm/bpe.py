@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bytegrain.llm.arrow import ddl, pack, slices, unpack
+from bytegrain.llm.arrow import ddl, pack, release, slices, unpack
 from bytegrain.llm.tokenizer import TokenizerFile
 from bytegrain.session import Stage, shared_root
 
@@ -112,6 +112,8 @@ def encode_buckets(file: TokenizerFile):
                     pa.array([np.unique(flat)], pa.list_(pa.int32())),
                 ]
                 yield pa.record_batch(columns, ["block", "bucket", "ids", "used"])
+        known = {}
+        release()
 
     return encode
 
@@ -120,6 +122,7 @@ def assemble_block(buckets: int, key_type: pa.DataType):
     """Put ids and pieces back by position in the documents of a block."""
 
     def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
+        release()
         pieces: dict[int, bytes] = {}
         parts: dict[int, list[np.ndarray]] = {}
         for row in words.to_pylist():

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegrain.llm.arrow import ddl, slices
+from bytegrain.llm.arrow import ddl, release, slices
 from bytegrain.session import Stage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -293,3 +293,20 @@ def score_toxicity(
     return rows.mapInArrow(
         score, f"_key {ddl(docs, key)}, score double, offending {spans}"
     ).withColumnRenamed("_key", key)
+
+
+def reject_toxic(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores below the threshold.
+
+    Narrow; a text goes to its worker once and comes back in slices. Null and empty texts score
+    0. Rows with null or repeated keys are judged one by one; an empty table gives no rows.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in slices(batch, text):
+                scores = [model.sentences(value.as_py() or "")[0] for value in part.column(text)]
+                yield part.filter(pa.array([score < threshold for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,7 @@ import random
 import zlib
 
 from bytegrain.llm.catalog import op5_toxicity
-from bytegrain.llm.toxicity import Finder, Model, fit, score_toxicity, train_toxicity
+from bytegrain.llm.toxicity import Finder, Model, fit, reject_toxic, score_toxicity, train_toxicity
 
 SF_DIR = "/root/testdata/sf0.1"
 
@@ -76,3 +76,16 @@ def test_fit_without_terms():
     weights, bias = fit([Row], 0)
     assert len(weights) == 0 and bias > -8
     assert Finder(()).sentences("One. Two")[0] == 2
+
+
+def test_toxic_rows_go_and_others_stay_as_they_are(spark):
+    model = Model(("bad$",), (25.0,), -20.0)
+    rows = [(1, "A bad thing.", 0.5, None), (1, "All is well.", 0.5, "x"), (2, None, None, "x")]
+    rows += [(None, "", 1.0, "x"), (1, "All is well.", 0.5, "x")]
+    rows += [(9, "well. " * 300_000, 0.1, None), (10, "x. " * 300_000 + "bad", 0.1, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, score double, offending string")
+    kept = reject_toxic(docs, model, 0.7)
+    assert kept.schema == docs.schema
+    want = [r for r in rows if "bad" not in (r[1] or "")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    assert reject_toxic(docs.where("false"), model, 0.7).collect() == []
