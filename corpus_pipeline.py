@@ -12,7 +12,7 @@ from bytegrain.llm.bpe import encode_decode
 from bytegrain.llm.mixing import cyclic_weights, plan_mix
 from bytegrain.llm.near_copies import near_copy_components
 from bytegrain.llm.substring_dedup import remove_repeats
-from bytegrain.llm.toxicity import fold, score_toxicity, train_toxicity
+from bytegrain.llm.toxicity import fold, reject_toxic, train_toxicity
 from bytegrain.session import Stage
 
 TOXIC = 0.7
@@ -30,8 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the model learns from the labels outside fold 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels.where(fold(F.col("doc_id")) != 1))
-    scored = score_toxicity(docs.withColumn("_all", _row(docs)), model, key="_all")
-    return scored.where(F.col("score") < TOXIC).select("_all.*")
+    return reject_toxic(docs, model, TOXIC)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
