@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytegrain.llm.bpe import encode_decode
 from bytegrain.llm.conversations import repair_plan, repaired_digests
 from bytegrain.llm.decontamination import contamination
 from bytegrain.llm.fingerprints import fingerprint_edits
-from bytegrain.llm.fixity import audit, warc_record
+from bytegrain.llm.fixity import compare, digests, inventory, manifest, warc_record
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.lm_scoring import score_documents
 from bytegrain.llm.manifest import audit_rows
@@ -116,27 +116,51 @@ WITH records AS (
     html, chr(13), chr(10), chr(13), chr(10)) AS VARCHAR) AS record
   FROM (SELECT *, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 101 AS fate
         FROM pages)
-), placed AS (
+), archived AS (
   SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // 4096 AS archive FROM records
+), placed AS (
+  SELECT *, CAST(sum(strlen(record)) OVER w AS BIGINT) AS stop,
+         CAST(sum(strlen(record)) OVER (PARTITION BY archive) AS BIGINT) AS size
+  FROM archived
+  WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING)
 )
-SELECT page_id, archive,
-       CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS start_offset,
-       CAST(sum(strlen(record)) OVER w AS BIGINT) AS stop_offset,
+SELECT page_id, archive, stop - strlen(record) AS start_offset, stop AS stop_offset,
        sha256(record) AS sha256,
-       CASE WHEN fate = 2 THEN 'missing' WHEN fate < 2 THEN 'changed' ELSE 'intact' END AS status
+       CASE WHEN fate = 2 THEN 'missing' WHEN fate = 3 THEN 'moved' WHEN fate < 2 THEN 'changed'
+            ELSE 'intact' END AS status
 FROM placed
-WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+UNION ALL
+SELECT -1 - page_id, archive, 2 * size + stop - strlen(record), 2 * size + stop, sha256(record), 'extra'
+FROM placed WHERE fate = 4
 """
 
 
-def damaged_replica(records: DataFrame) -> DataFrame:
-    """A replica in which about one record in 34 is altered at its end, cut short, or lost."""
+def damaged_replica(records: DataFrame, placed: DataFrame) -> DataFrame:
+    """The inventory of a replica in which of 101 records one is altered at its end, one cut
+    short, one lost, one moved behind its archive, and one held a second time under an id that
+    the records lack. Only digests are joined with places."""
     drawn = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
     fate = F.pmod(drawn, F.lit(101))
     altered = F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))
     cut = F.expr("left(record, length(record) - 7)")
     damaged = F.when(fate == 0, altered).when(fate == 1, cut).otherwise(F.col("record"))
-    return records.where(fate != 2).withColumn("record", damaged)
+    held = digests(
+        records.where(fate != 2).select("page_id", damaged.alias("record"), fate.alias("fate")),
+        "page_id", "record", "fate",
+    )
+    size = F.max("_stop").over(Window.partitionBy("_archive")).alias("size")  # of at most 4,096 rows
+    places = placed.select(F.col("_key").alias("id"), F.col("_archive").alias("archive"), "_start", size)
+    copies = F.array(
+        F.struct(F.col("_key").alias("key"), (F.col("_start") + F.when(F.col("fate") == 3, F.col("size")).otherwise(0)).alias("start")),
+        F.struct((-1 - F.col("_key")).cast(held.schema["_key"].dataType).alias("key"), (F.col("_start") + 2 * F.col("size")).alias("start")),
+    )
+    taken = F.slice(copies, 1, F.when(F.col("fate") == 4, 2).otherwise(1))
+    rows = held.join(places, F.col("_key") == F.col("id")).select(
+        "_digest", "_bytes", "archive", F.explode_outer(taken).alias("copy")
+    )
+    return inventory(
+        rows.select(F.col("copy.key").alias("_key"), "_digest", "_bytes", "archive", F.col("copy.start").alias("start_offset"))
+    )
 
 
 @query("op4_warc_fixity", FIXITY_ORACLE)
@@ -144,7 +168,8 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     records = pages.select("page_id", record.alias("record"))
-    return audit(records, damaged_replica(records))
+    placed = Stage(manifest(records), "places").df
+    return compare(placed, damaged_replica(records, placed))
 
 
 TOXIC = 0.7
@@ -496,9 +521,11 @@ WITH RECURSIVE original AS (
   FROM damaged
 ), judged AS (
   SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
          WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
-         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+         WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault
   FROM placed
 ), rows AS (
   SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra
