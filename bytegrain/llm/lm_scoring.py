@@ -18,7 +18,10 @@ from bytegrain.session import shared_root
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_BYTES = 1 << 25  # text of a block of documents, on average
+FAN = 2048  # blocks that meet each hash range on their own; more of them meet in teams
 BACKOFF = 0.4
+GRAMS = "_block int, bucket int, grams binary"
+TOTALS = "_block int, bucket int, words bigint, totals binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Grams:
     """The n-grams of a block of documents up to an order, as hashes.
 
@@ -35,13 +46,11 @@ class Grams:
     """
 
     def __init__(self, texts: list, order: int):
-        hashes: dict[bytes, int] = {}
+        hashes = Hashes()
         counts, flat = [], []
         for text in texts:
             words = WORD.findall((text.as_py() or "").encode())
             counts.append(len(words))
-            for word in set(words).difference(hashes):
-                hashes[word] = xxhash.xxh3_64_intdigest(word)
             flat.append(np.array([hashes[word] for word in words], np.uint64))
         self.counts = np.array(counts, np.int64)
         words = np.concatenate([np.zeros(0, np.uint64), *flat])
@@ -73,33 +82,91 @@ class Grams:
         return own
 
 
-def bucket_edges(unique: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the hash ranges of the buckets begin and end in sorted hashes."""
-    bucket = (unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-
-
 def split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)
 
 
-def count_block(order: int, buckets: int):
-    """A block's n-grams and their counts, by hash range; an empty range gives a row, too."""
+def joined(arrays: list[np.ndarray], at: int) -> np.ndarray:
+    """What `split` made arrays `at` and `at + 1` of."""
+    return (arrays[at].astype(np.uint64) << np.uint64(32)) + arrays[at + 1].astype(np.uint64)
+
+
+def pack_ranges(grams: list[tuple[np.ndarray, np.ndarray]], buckets: int, cuts: np.ndarray) -> list[bytes]:
+    """(hashes, counts) of each order, cut before the given ones of so many hash ranges."""
+    packed: list[list[np.ndarray]] = [[] for _ in cuts[:-1]]
+    for hashes, often in grams:
+        bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        edges = np.searchsorted(bucket, cuts.astype(np.uint64)).tolist()
+        for arrays, start, stop in zip(packed, edges, edges[1:]):
+            steps = np.diff(hashes[start:stop], prepend=np.uint64(0))
+            arrays += [*split(steps), *split(often[start:stop].astype(np.uint64))]
+    return [pack(*arrays) for arrays in packed]
+
+
+def gram_rows(block: int, buckets: np.ndarray, packed: list[bytes]) -> pa.Table:
+    return pa.table(
+        {
+            "_block": pa.array(np.full(len(packed), block, np.int32)),
+            "bucket": pa.array(buckets.astype(np.int32)),
+            "grams": pa.array(packed, pa.binary()),
+        }
+    )
+
+
+def merge_blocks(table: pa.Table, order: int):
+    """For each order the distinct n-grams of some rows, their counts over all these rows, and
+    where each row's n-grams are among them."""
+    blocks = [unpack(row.as_py())[0] for row in table.column("grams")]
+    for at in range(0, 4 * order, 4):
+        hashes = [np.cumsum(joined(block, at), dtype=np.uint64) for block in blocks]
+        often = np.concatenate([joined(block, at + 2) for block in blocks])
+        unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.bincount(inverse, often, len(unique)).astype(np.int64)
+        yield unique, sums, np.split(inverse, np.cumsum(list(map(len, hashes)))[:-1])
+
+
+def all_totals(totals: pa.Table, order: int) -> tuple[int, list[np.ndarray]]:
+    """The words of hash ranges, and for each order the totals of their n-grams, in order."""
+    rows = sorted(totals.to_pylist(), key=lambda row: row["bucket"])
+    parts = [unpack(row["totals"])[0] for row in rows]
+    found = [
+        np.concatenate([np.zeros(0, np.int64)] + [joined(part, at).astype(np.int64) for part in parts])
+        for at in range(0, 2 * order, 2)
+    ]
+    return sum(row["words"] for row in rows), found
+
+
+def total_rows(table: pa.Table, words: int, totals: list[list[np.ndarray]]) -> pa.Table:
+    return pa.table(
+        {
+            "_block": table.column("_block"),
+            "bucket": table.column("bucket"),
+            "words": pa.array(np.full(len(totals), words, np.int64)),
+            "totals": pa.array([pack(*part) for part in totals], pa.binary()),
+        }
+    )
+
+
+def count_block(order: int, buckets: int, wide: int):
+    """A block's n-grams and their counts, a row for each `wide` hash ranges, empty ones too."""
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         grams = Grams(table.column("_text"), order)
-        edges = {m: bucket_edges(grams.unique[m], buckets) for m in grams.unique}
-        packed = []
-        for bucket in range(buckets):
-            arrays = []
-            for m in range(1, order + 1):
-                part = slice(edges[m][bucket], edges[m][bucket + 1])
-                hashes = grams.unique[m][part]
-                arrays += [*split(np.diff(hashes, prepend=np.uint64(0))), grams.often[m][part]]
-            packed.append(pack(*arrays))
-        block = pa.array(np.full(buckets, key[0].as_py(), np.int32))
-        bucket = pa.array(np.arange(buckets, dtype=np.int32))
-        return pa.table({"_block": block, "bucket": bucket, "grams": pa.array(packed, pa.binary())})
+        cuts = np.append(np.arange(0, buckets, wide), buckets)
+        held = [(grams.unique[m], grams.often[m]) for m in range(1, order + 1)]
+        return gram_rows(key[0].as_py(), np.arange(len(cuts) - 1), pack_ranges(held, buckets, cuts))
+
+    return count
+
+
+def count_team(order: int, buckets: int, wide: int):
+    """What a team of blocks gave for `wide` hash ranges as one block's rows, one for each."""
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        first = table.column("bucket")[0].as_py() * wide
+        cuts = np.arange(first, min(first + wide, buckets) + 1)
+        held = [(unique, sums) for unique, sums, _ in merge_blocks(table, order)]
+        return gram_rows(key[0].as_py(), cuts[:-1], pack_ranges(held, buckets, cuts))
 
     return count
 
@@ -108,50 +175,43 @@ def total_bucket(order: int):
     """Counts over all blocks, in the order in which each block gave its n-grams."""
 
     def total(table: pa.Table) -> pa.Table:
-        blocks = [unpack(row.as_py())[0] for row in table.column("grams")]
-        totals: list[list[np.ndarray]] = [[] for _ in blocks]
+        totals: list[list[np.ndarray]] = [[] for _ in range(table.num_rows)]
         words = 0
-        for m in range(order):
-            hashes = [
-                np.cumsum((b[3 * m].astype(np.uint64) << np.uint64(32)) + b[3 * m + 1].astype(np.uint64))
-                for b in blocks
-            ]
-            often = np.concatenate([b[3 * m + 2] for b in blocks]).astype(np.int64)
-            _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.bincount(inverse, often).astype(np.int64)
-            words += int(often.sum()) if m == 0 else 0
-            stops = np.cumsum(list(map(len, hashes)))
-            for part, found in zip(totals, np.split(sums[inverse], stops[:-1])):
-                part += split(found.astype(np.uint64))
-        return pa.table(
-            {
-                "_block": table.column("_block"),
-                "bucket": table.column("bucket"),
-                "words": pa.array(np.full(len(blocks), words, np.int64)),
-                "totals": pa.array([pack(*part) for part in totals], pa.binary()),
-            }
-        )
+        for m, (_, sums, places) in enumerate(merge_blocks(table, order)):
+            words += int(sums.sum()) if m == 0 else 0
+            for part, place in zip(totals, places):
+                part += split(sums[place].astype(np.uint64))
+        return total_rows(table, words, totals)
 
     return total
 
 
+def answer_team(order: int):
+    """The totals that a team got, for each of its blocks."""
+
+    def answer(table: pa.Table, found: pa.Table) -> pa.Table:
+        words, everywhere = all_totals(found, order)
+        totals: list[list[np.ndarray]] = [[] for _ in range(table.num_rows)]
+        for (_, _, places), total in zip(merge_blocks(table, order), everywhere):
+            for part, place in zip(totals, places):
+                part += split(total[place].astype(np.uint64))
+        return total_rows(table, words, totals)
+
+    return answer
+
+
 def score_block(order: int, backoff: float, key_type: pa.DataType):
     """Scores of a block's documents from the totals of its n-grams."""
 
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         grams = Grams(docs.column("_text"), order)
-        rows = sorted(totals.to_pylist(), key=lambda row: row["bucket"])
-        parts = [unpack(row["totals"])[0] for row in rows]
-        everywhere = sum(row["words"] for row in rows)
+        everywhere, found = all_totals(totals, order)
         others, before = {}, np.full(len(grams.place), everywhere, np.int64)
         others[0] = before - grams.counts[grams.document]
         for m in range(1, order + 1):
-            total = np.concatenate(
-                [np.zeros(0, np.int64)]
-                + [(p[2 * m - 2].astype(np.int64) << 32) + p[2 * m - 1] for p in parts]
-            )
-            found = total[grams.ids[m]] if len(total) else np.zeros(len(grams.place), np.int64)
-            others[m] = np.where(grams.place >= m - 1, found - grams.own(m), 0)
+            total = found[m - 1]
+            held = total[grams.ids[m]] if len(total) else np.zeros(len(grams.place), np.int64)
+            others[m] = np.where(grams.place >= m - 1, held - grams.own(m), 0)
         logs = np.zeros(len(grams.place))
         steps = np.zeros(len(grams.place), np.int64)
         level = np.zeros(len(grams.place), np.int64)
@@ -186,12 +246,27 @@ def score_block(order: int, backoff: float, key_type: pa.DataType):
     return score
 
 
+def bucketed(rows: DataFrame, buckets: int, by: str) -> DataFrame:
+    """Rows as a table in which those of one value lie together; a bucket may hold several."""
+    spark = rows.sparkSession
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    name = f"blocks_{uuid.uuid4().hex}"
+    (
+        rows.repartition(buckets, by)
+        .write.bucketBy(buckets, by)
+        .option("path", f"{shared_root(spark)}/bytegrain/{name}")
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def score_documents(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     order: int = 2,
     backoff: float = BACKOFF,
+    fan: int = FAN,
 ) -> DataFrame:
     """(key, n_words, log_score, mean_log_score, n_highest, n_unseen), one row for each row.
 
@@ -207,6 +282,8 @@ def score_documents(
     2. A block gives its distinct n-grams with counts by hash range, packed: an n-gram comes
        once from a block, however frequent, so hot ones make no hot partition.
     3. Each hash range sums its counts and answers every block in the order it was given.
+       More than `fan` blocks meet the ranges in teams of `fan`, which sum first and hand on
+       the answers: rows then grow with blocks x `fan` (up to `fan`^2 blocks), not blocks^2.
     4. A block meets the totals of its n-grams; its texts don't move again.
     """
     spark = docs.sparkSession
@@ -214,21 +291,18 @@ def score_documents(
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("_key", "_text"), F.lit(blocks)).cast("int")
-    name = f"blocks_{uuid.uuid4().hex}"
-    (
-        rows.withColumn("_block", block)
-        .repartition(blocks, "_block")
-        .write.bucketBy(blocks, "_block")
-        .option("path", f"{shared_root(spark)}/bytegrain/{name}")
-        .saveAsTable(name)
-    )
-    dealt = spark.table(name)
-    counted = dealt.groupBy("_block").applyInArrow(
-        count_block(order, blocks), "_block int, bucket int, grams binary"
-    )
-    totals = counted.groupBy("bucket").applyInArrow(
-        total_bucket(order), "_block int, bucket int, words bigint, totals binary"
-    )
+    dealt = bucketed(rows.withColumn("_block", block), blocks, "_block")
+    wide = -(-blocks // fan)  # hash ranges that a team takes at a time
+    grams = dealt.groupBy("_block").applyInArrow(count_block(order, blocks, wide), GRAMS)
+    if wide > 1:
+        parts = -(-blocks // wide)
+        unit = (F.floor(F.col("_block") / fan) * parts + F.col("bucket")).cast("int")
+        teams = bucketed(grams.withColumn("_unit", unit), blocks, "_unit")
+        grams = teams.groupBy("_unit").applyInArrow(count_team(order, blocks, wide), GRAMS)
+    totals = grams.groupBy("bucket").applyInArrow(total_bucket(order), TOTALS)
+    if wide > 1:
+        answers = totals.withColumnRenamed("_block", "_unit").groupBy("_unit")
+        totals = teams.groupBy("_unit").cogroup(answers).applyInArrow(answer_team(order), TOTALS)
     key_type = to_arrow_type(docs.schema[key].dataType)
     schema = (
         f"_key {ddl(docs, key)}, n_words bigint, log_score double, mean_log_score double, "

@@ -41,8 +41,9 @@ def brute(rows, order, backoff=0.4):
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores(spark, order):
+@pytest.mark.parametrize("order, fan", [(1, 2048), (2, 2048), (3, 2048), (2, 3), (3, 2), (3, 1)])
+def test_scores(spark, order, fan):
+    """Also where blocks meet the hash ranges in teams."""
     rng = random.Random(order)
     words = [f"w{i}" for i in range(60)] + ["é", "x\x1cy"]
     rows = [(i, " ".join(rng.choices(words, range(1, 63), k=rng.randrange(50)))) for i in range(40)]
@@ -50,7 +51,7 @@ def test_scores(spark, order):
     docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 AS _block", "text AS bucket")
     got = [
         (r.doc_id, r.n_words, round(r.log_score, 6) + 0.0, r.mean_log_score and round(r.mean_log_score, 9), r.n_highest, r.n_unseen)
-        for r in score_documents(docs.repartition(3), order=order).collect()
+        for r in score_documents(docs.repartition(3), order=order, fan=fan).collect()
     ]
     assert sorted(got, key=repr) == brute(rows, order)
 
@@ -69,3 +70,24 @@ def test_blocks_without_words(spark, texts):
     for r in score_documents(docs).collect():
         if texts[r.doc_id] != "a b":
             assert tuple(r)[1:] == (0, 0.0, None, 0, 0)
+
+
+def test_many_blocks(spark):
+    """More blocks than a table may have buckets."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} and w{i % 7}") for i in range(50)], "doc_id int, text string")
+    expected = sorted(map(tuple, score_documents(docs).collect()))
+    most = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "3")
+    try:
+        assert sorted(map(tuple, score_documents(docs, fan=2).collect())) == expected
+    finally:
+        spark.conf.set(most, before)
+
+
+def test_teams_without_words(spark):
+    docs = spark.createDataFrame([(0, ""), (1, None), (2, "a b")], "doc_id int, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in score_documents(docs, fan=2).collect()}
+    assert got[0] == got[1] == (0, 0.0, None, 0, 0)
+    assert got[2][0] == got[2][4] == 2
+    assert score_documents(docs.where("false"), fan=2).collect() == []
