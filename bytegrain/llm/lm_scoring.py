@@ -83,12 +83,15 @@ class Grams:
 
 
 def split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)
+    """High and low halves; no high ones if all are 0, as those of most counts are."""
+    high = values >> np.uint64(32)
+    return high if high.any() else high[:0], values & np.uint64(0xFFFFFFFF)
 
 
 def joined(arrays: list[np.ndarray], at: int) -> np.ndarray:
     """What `split` made arrays `at` and `at + 1` of."""
-    return (arrays[at].astype(np.uint64) << np.uint64(32)) + arrays[at + 1].astype(np.uint64)
+    low = arrays[at + 1].astype(np.uint64)
+    return (arrays[at].astype(np.uint64) << np.uint64(32)) + low if len(arrays[at]) else low
 
 
 def pack_ranges(grams: list[tuple[np.ndarray, np.ndarray]], buckets: int, cuts: np.ndarray) -> list[bytes]:

@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from bytegrain.llm.lm_scoring import score_documents
+
+from bytegrain.llm.arrow import pack, unpack
+from bytegrain.llm.lm_scoring import joined, score_documents, split
 
 
 def brute(rows, order, backoff=0.4):
@@ -91,3 +94,9 @@ def test_teams_without_words(spark):
     assert got[0] == got[1] == (0, 0.0, None, 0, 0)
     assert got[2][0] == got[2][4] == 2
     assert score_documents(docs.where("false"), fan=2).collect() == []
+
+
+@pytest.mark.parametrize("values", [[], [0], [7, 0, 2**32 - 1], [2**32, 1], [2**64 - 1, 0, 5]])
+def test_halves(values):
+    arrays, _ = unpack(pack(*split(np.array(values, np.uint64))))
+    assert joined(arrays, 0).tolist() == values
