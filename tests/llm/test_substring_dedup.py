@@ -37,6 +37,19 @@ def test_suffix_array():
     assert len(suffix_array(np.zeros(0, np.uint8))) == 0
 
 
+def test_last_part_that_fills_its_keys():
+    """The text ends with a part of as many signs as a key holds, which longer parts begin with."""
+    rng = random.Random(3)
+    part = b"afedcb"  # one rising place
+    tails = [a + b for a in (b"a", b"bb", b"ba", b"b", b"ab", b"") for b in (b"z", b"y", b"")]
+    texts = [b"afedcbzafedcbbbafedcbbbafedcbbafedcbaafedcb"]
+    for _ in range(200):
+        texts.append(b"".join(part + rng.choice(tails) for _ in range(rng.randrange(2, 8))) + part * rng.randrange(1, 3))
+    for text in texts:
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert suffix_array(np.frombuffer(text, np.uint8)).tolist() == want
+
+
 def test_equal_windows_have_equal_names():
     rng = random.Random(2)
     for _ in range(40):
