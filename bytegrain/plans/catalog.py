@@ -882,8 +882,9 @@ def q_split_by_offset(spark, sf_dir):
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus may be one file or a folder of files; only as a glob may a stream's path be a file."""
     schema = "doc_id bigint, text string"
-    return ingest.read_stream(spark, sf_dir, schema, "documents.parquet", key="doc_id")
+    return ingest.read_stream(spark, f"{sf_dir}/{{documents.parquet}}", schema, key="doc_id")
 
 
 @register(

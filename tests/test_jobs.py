@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from bytegrain.functions.segment import segment_long
 from bytegrain.model import COMPACT, BpeModel, Layout
+from bytegrain.operators.corpus import prepare_corpus
 from bytegrain.operators.decoding import decode
 from bytegrain.operators.encoding import encode
+from bytegrain.plans.catalog import QUERIES, SAMPLE
 from bytegrain.plans.jobs import build_corpus, encode_corpus, train_tokenizer
 from bytegrain.sources.artifact import load_model, save_model
 from bytegrain.sources.tables import read_shard_text, read_token_table, write_shard_text
@@ -224,6 +226,27 @@ def test_many_batches_with_a_stop(spark, tmp_path):
     assert len(list((tmp_path / "log" / "offsets").glob("[0-9]*"))) == 5
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])  # 0: documents.parquet is a file itself
+def test_stream_queries_read_a_file_or_a_folder(spark, tmp_path, files):
+    source = docs_of(spark, [text * 2 for text in texts(40)])
+    docs = source.repartition(max(files, 1))
+    docs.write.parquet(str(tmp_path / "written"))
+    if files:
+        (tmp_path / "written").rename(tmp_path / "documents.parquet")
+    else:
+        (part,) = (tmp_path / "written").glob("part-*")
+        part.rename(tmp_path / "documents.parquet")
+    docs_of(spark, ["rain and more rain"]).selectExpr("doc_id AS item_id", "text").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    for name in ("q_stream_encode", "q_stream_encode_large"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+    want = sorted(r.doc_id for r in prepare_corpus(source, SAMPLE).collect())
+    got = QUERIES["q_stream_ingest"](spark, str(tmp_path))
+    assert want and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_staged_tables_go_to_the_shared_folder(spark):
     from bytegrain.session import Stage
 
