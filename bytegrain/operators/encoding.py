@@ -31,7 +31,7 @@ from bytegrain.functions.tokens import (
 from bytegrain.model import BpeModel
 from bytegrain.session import Stage
 
-WHOLE_TEXT_MERGES = 48  # up to here, replaying all merges on the text beats chunk lookups
+WHOLE_TEXT_MERGES = 8  # up to here, replaying all merges on the text beats chunk lookups
 BROADCAST_PAIRS = 1_000_000
 
 

@@ -199,3 +199,11 @@ def test_vocabulary_layouts(spark, model):
     for _, left, right, new, _ in model.merge_rows:
         assert rows[new].bytes == rows[left].bytes + rows[right].bytes
     assert COMPACT.merges_start == 260 and SPEC.merges_start == 528
+
+
+def test_only_a_few_merges_are_replayed_on_texts(spark):
+    docs = spark.createDataFrame([(0, "abab")], "doc_id int, text string")
+    for merges, arrow in ((4, False), (32, True)):
+        model = BpeModel(COMPACT, "cl100k", [(97, 98 + i, None) for i in range(merges)])
+        plan = encode(docs, model)._jdf.queryExecution().toString()
+        assert ("ArrowEvalPython" in plan) == arrow
