@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bytegrain.llm import near_copies as jj
 from bytegrain.llm.near_copies import near_copy_components
+from bytegrain.session import Stage
 
 
 def shingles(text):
@@ -103,6 +105,60 @@ def test_linked_sets_share_a_signature():
                 assert len(shared)
 
 
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 30, 300, 700, 5000]:
+        x = np.unique(rng.integers(0, 1 << jj.TOKEN_BITS, n).astype(np.uint64))
+        for changed in [0, 1, n // 20, n // 9, n // 5, n // 2, n]:
+            fresh = np.unique(rng.integers(0, 1 << jj.TOKEN_BITS, changed).astype(np.uint64))
+            y = np.union1d(x[min(changed, len(x) - 1) :], fresh)
+            sizes = len(x) + len(y)
+            words = [np.frombuffer(jj.sketch(t, jj.sketch_bits(len(t))), np.uint64) for t in (x, y)]
+            for width in (8, min(map(len, words))):
+                differ = int(np.bitwise_count(jj.fold(words[0], width) ^ jj.fold(words[1], width)).sum())
+                assert differ <= len(np.setxor1d(x, y))
+                assert jj.within(differ, sizes, 80) or not jj.linked(x, y, 80)
+    assert not jj.within(differ, sizes, 80)
+
+
+@pytest.mark.parametrize("sizes", [[1] * 150, [70, 1, 1, 90, 2, 65, 3], [2] * 40, [200]])
+def test_groups_meet_once(monkeypatch, sizes):
+    monkeypatch.setattr(jj, "PAIRS", 1 << 10)
+    nodes, sigs = sum(sizes), np.array([5], np.int64).tobytes()
+    comps = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table(
+        {"node": np.arange(nodes), "comp": comps, "need": [1] * nodes, "n": [9] * nodes, "sigs": [sigs] * nodes, "bits": [bytes(64)] * nodes}
+    )
+    found = jj.Sketches(table, 80).pairs().to_pylist()
+    assert all(r["k"] == r["need"] == 1 for r in found)
+    want = [(a, b) for b in range(nodes) for a in range(b) if comps[a] != comps[b]]
+    assert sorted((r["a"], r["b"]) for r in found) == sorted(want)
+
+
+def test_texts_that_share_a_passage_make_few_pairs(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9000)]
+    passage = rng.choices(words, k=240)
+    rows = [(i, " ".join(passage + rng.choices(words, k=110))) for i in range(120)]
+    rows += [(120, rows[0][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = Stage(jj.set_table(docs, "doc_id", "text", 5), "sets").df
+    shared = Stage(jj.shared_signatures(sets, 80), "shared").df
+    alone = spark.createDataFrame([], "node long, label long")
+    pairs = jj.pairs_across(shared, sets, alone, 80)
+    assert 1 <= pairs.count() < len(rows)
+    assert jj.verified(pairs, sets, 80).count() == 1
+
+
+def test_components_are_bridged_by_one_pair(spark):
+    matches = [(1, 2, 9), (3, 2, 5), (4, 2, 7), (5, 6, 8), (7, 8, 3), (7, 4, 1)]
+    labels = [(1, 1), (3, 1), (2, 2), (4, 2), (6, 6), (9, 6)]
+    found = jj.bridges(
+        spark.createDataFrame(matches, "node long, hub long, k long"),
+        spark.createDataFrame(labels, "node long, label long"),
+    )
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (5, 6), (7, 4)]
+
 
 def test_empty_table(spark):
     assert got(spark, []) == []
