@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ import pyarrow.compute as pc
 
 SHORT = 32  # bytes; longer chunks are segmented with a heap
 KNOWN_BYTES = 64  # longer chunks are not remembered
-KNOWN_CHUNKS = 1 << 19
+KNOWN_CHUNKS = 1 << 17
+PIECE_CHUNKS = 1 << 18  # of the texts that are taken at a time, or one text's
 NEVER = 1 << 62
 
 Pairs = dict[tuple[int, int], int]
@@ -70,12 +72,13 @@ class Segmenter:
 
     def __init__(self, merges: np.ndarray, first_id: int):
         self.table = pair_table(merges, first_id)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
+        """The ids of a chunk, packed; a list of them takes several times the room."""
         tokens = list(text.encode())
         segment = segment_short if len(tokens) <= SHORT else segment_long
-        ids = segment(tokens, self.table)
+        ids = array("i", segment(tokens, self.table)).tobytes()
         if len(text) <= KNOWN_BYTES:
             self.known[text] = ids
         return ids
@@ -86,11 +89,29 @@ class Segmenter:
             self.known.clear()
         known = self.known
         found = [known.get(text) or self.chunk(text) for text in chunks.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.int32), sizes
 
     def encode(self, chunks: pa.ListArray) -> pa.Array:
-        """The ids of each list of chunks; null lists stay null."""
+        """The ids of each list of chunks; null lists stay null.
+
+        Lists go in pieces, so that arrays over all chunks of a batch, which take many times
+        its size, are never made; what the pieces took is given back.
+        """
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        found, start = [], 0
+        while start < len(ends) or not found:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + PIECE_CHUNKS, side="right")))
+            found.append(self.piece(chunks.slice(start, stop - start)))
+            start = stop
+        ids = pa.concat_arrays(found)
+        if len(found) > 1:
+            del found
+            give_back()
+        return ids
+
+    def piece(self, chunks: pa.ListArray) -> pa.Array:
         coded = pc.dictionary_encode(chunks.flatten())
         ids, sizes = self.lists(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -110,6 +131,14 @@ def spread(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarr
     return np.arange(int(size.sum())) + np.repeat(starts[codes] - before, size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker outlives the task that took it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _held: dict[str, Segmenter] = {}
 
 

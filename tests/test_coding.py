@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -207,3 +208,28 @@ def test_only_a_few_merges_are_replayed_on_texts(spark):
         model = BpeModel(COMPACT, "cl100k", [(97, 98 + i, None) for i in range(merges)])
         plan = encode(docs, model)._jdf.queryExecution().toString()
         assert ("ArrowEvalPython" in plan) == arrow
+
+
+def test_chunks_are_segmented_in_pieces(monkeypatch):
+    held = segment.Segmenter(np.array([(97, 98), (300, 300)]), 300)
+    lists = [["abab", "é"], None, [], ["x"] * 7, ["abab" * 9, "", "ab"], [], None]
+    chunks = pa.array(lists, pa.list_(pa.string()))
+    whole = held.encode(chunks).to_pylist()
+    assert whole[0] == [301, 195, 169] and whole[1] is None and whole[2] == []
+    monkeypatch.setattr(segment, "PIECE_CHUNKS", 2)
+    assert held.encode(chunks).to_pylist() == whole
+    assert held.encode(chunks.slice(2, 3)).to_pylist() == whole[2:5]
+    assert held.encode(chunks.slice(0, 0)).to_pylist() == []
+
+
+def test_encoding_a_large_batch_takes_little_memory():
+    held = segment.Segmenter(np.array([(97, 98)]), 300)
+    chunks = pa.array([["abab", "abc", "x"] * 700] * 1000, pa.list_(pa.string()))  # 2.1 million
+    tracemalloc.start()
+    try:
+        ids = held.encode(chunks)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ids) == 1000 and ids[999].as_py()[:5] == [300, 300, 300, 99, 120]
+    assert peak < 60e6
