@@ -2,9 +2,9 @@
 
 A short merge list is replayed on each text as a whole, its chunks kept apart by a
 character that is no token. For longer lists the JVM splits texts into chunks and an Arrow
-function takes each batch's distinct chunks and gathers ids by array operations. A worker
-remembers short chunks for all its later batches, tasks and queries of the model, so a
-chunk is segmented about once by each worker however often it occurs, and skew cannot arise.
+function takes the distinct chunks of a batch, piece by piece, and gathers ids by array
+operations. A worker remembers short chunks for all its later batches, tasks and queries of
+the model, up to a bound, so a frequent chunk is seldom segmented, and skew cannot arise.
 """
 
 from __future__ import annotations
