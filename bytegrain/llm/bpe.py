@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -15,13 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bytegrain.llm.arrow import ddl, pack, release, slices, unpack
+from bytegrain.llm.arrow import ddl, pack, release, slices, trimmed, unpack
 from bytegrain.llm.tokenizer import TokenizerFile
-from bytegrain.session import Stage, shared_root
+from bytegrain.session import Stage, shared_root, small_batches
 
-BLOCK_WORDS = 1 << 19  # distinct words of a block of documents
-BLOCK_BYTES = 1 << 26  # text of a block of documents
+BLOCK_WORDS = 1 << 18  # distinct words of a block of documents
+BLOCK_BYTES = 1 << 25  # text of a block of documents
 KNOWN_BYTES = 1 << 26  # words and ids that a task remembers of its bucket
+WORD_COST = 200  # bytes of a remembered word besides its letters and ids
+ENCODED_WORDS = 1 << 13  # words that the library is given at a time
+PIECES_JOINED = 1 << 16  # ids whose pieces are joined at a time
+WORDS_JOINED = 1 << 16  # words of documents that are put back at a time
 
 
 class Numbers(dict):
@@ -29,13 +34,15 @@ class Numbers(dict):
     asked for. The word at place i of bucket b has number i * buckets + b."""
 
     def __init__(self, buckets: int):
-        self.words: list[list[bytes]] = [[] for _ in range(buckets)]
+        self.lengths = [array("I") for _ in range(buckets)]
+        self.letters = [bytearray() for _ in range(buckets)]
 
     def __missing__(self, word: str) -> int:
         raw = word.encode()
-        bucket = zlib.crc32(raw) % len(self.words)
-        number = self[word] = len(self.words[bucket]) * len(self.words) + bucket
-        self.words[bucket].append(raw)
+        bucket = zlib.crc32(raw) % len(self.lengths)
+        number = self[word] = len(self.lengths[bucket]) * len(self.lengths) + bucket
+        self.lengths[bucket].append(len(raw))
+        self.letters[bucket] += raw
         return number
 
 
@@ -63,7 +70,7 @@ def split_blocks(file: TokenizerFile, buckets: int, key_type: pa.DataType, block
                     block, numbers, size = block + 1, Numbers(buckets), 0
         yield from _word_rows(block, numbers, key_type)
 
-    return split
+    return trimmed(split)
 
 
 def _row(block, keys, bucket, words, codes) -> pa.RecordBatch:
@@ -79,9 +86,9 @@ def _row(block, keys, bucket, words, codes) -> pa.RecordBatch:
 
 def _word_rows(block, numbers, key_type) -> Iterator[pa.RecordBatch]:
     none = pa.nulls(1, pa.list_(key_type))
-    for bucket, words in enumerate(numbers.words):
-        if words:
-            packed = pack(list(map(len, words)), blob=b"".join(words))
+    for bucket, (lengths, letters) in enumerate(zip(numbers.lengths, numbers.letters)):
+        if lengths:
+            packed = pack(lengths, blob=letters)
             yield _row(block, none, bucket, packed, None)
 
 
@@ -90,32 +97,34 @@ def encode_buckets(file: TokenizerFile):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = file.load()
-        rows = (row for batch in batches for row in batch.to_pylist())
-        for _, bucket in groupby(rows, lambda row: row["bucket"]):
-            known: dict[bytes, list[int]] = {}
+        names = ("block", "bucket", "words")
+        rows = (row for batch in batches for row in zip(*map(batch.column, names)))
+        for bucket, group in groupby(rows, lambda row: row[1].as_py()):
+            known: dict[bytes, bytes] = {}
             held = 0
-            for row in bucket:
-                (lengths,), blob = unpack(row["words"])
+            for block, _, packed in group:
+                (lengths,), blob = unpack(packed.as_py())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 words = [blob[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
                 if held > KNOWN_BYTES:
                     known, held = {}, 0
                 new = [word for word in words if word not in known]
-                known.update(zip(new, encoder.encode([word.decode() for word in new])))
-                held += sum(map(len, new)) * 5
+                for at in range(0, len(new), ENCODED_WORDS):
+                    part = new[at : at + ENCODED_WORDS]
+                    coded = encoder.encode([word.decode() for word in part])
+                    known.update((word, array("I", ids).tobytes()) for word, ids in zip(part, coded))
+                    held += sum(len(word) + len(known[word]) + WORD_COST for word in part)
                 ids = [known[word] for word in words]
-                flat = np.array([i for word in ids for i in word], "<u4")
+                flat = np.frombuffer(b"".join(ids), "<u4")
                 columns = [
-                    pa.array([row["block"]], pa.int64()),
-                    pa.array([row["bucket"]], pa.int32()),
-                    pa.array([pack(list(map(len, ids)), flat)], pa.binary()),
+                    pa.array([block.as_py()], pa.int64()),
+                    pa.array([bucket], pa.int32()),
+                    pa.array([pack([len(word) // 4 for word in ids], flat)], pa.binary()),
                     pa.array([np.unique(flat)], pa.list_(pa.int32())),
                 ]
                 yield pa.record_batch(columns, ["block", "bucket", "ids", "used"])
-        known = {}
-        release()
 
-    return encode
+    return trimmed(encode)
 
 
 def assemble_block(buckets: int, key_type: pa.DataType):
@@ -125,11 +134,11 @@ def assemble_block(buckets: int, key_type: pa.DataType):
         release()
         pieces: dict[int, bytes] = {}
         parts: dict[int, list[np.ndarray]] = {}
-        for row in words.to_pylist():
-            if row["piece"] is not None:
-                pieces[row["id"]] = row["piece"]
+        for number, piece, bucket, ids in zip(*map(words.column, ("id", "piece", "bucket", "ids"))):
+            if piece.is_valid:
+                pieces[number.as_py()] = piece.as_py()
             else:
-                parts[row["bucket"]] = unpack(row["ids"])[0]
+                parts[bucket.as_py()] = unpack(ids.as_py())[0]
         table = WordTable(parts, pieces, buckets)
         return pa.Table.from_batches(
             [
@@ -143,7 +152,10 @@ def assemble_block(buckets: int, key_type: pa.DataType):
 
 
 class WordTable:
-    """The words of a block by number: their ids, and the bytes these decode to."""
+    """The words of a block by number: their ids, and the bytes these decode to.
+
+    Both lie one word after the other in one array each.
+    """
 
     def __init__(self, parts: dict[int, list[np.ndarray]], pieces: dict[int, bytes], buckets: int):
         slots = max((len(lengths) for lengths, _ in parts.values()), default=0)
@@ -157,29 +169,50 @@ class WordTable:
             at += len(flat)
         self.ids = np.concatenate(ids).astype("<u4")
         self.starts, self.lengths = starts.reshape(-1), sizes.reshape(-1)
-        decoded = [pieces[i] for i in self.ids.tolist()]
-        self.words = [
-            b"".join(decoded[start : start + length])
-            for start, length in zip(self.starts.tolist(), self.lengths.tolist())
-        ]
+        sizes = np.zeros(max(pieces, default=0) + 1, np.int64)
+        sizes[list(pieces)] = list(map(len, pieces.values()))
+        edges = np.append(0, np.cumsum(sizes[self.ids]))
+        self.letters = np.frombuffer(
+            b"".join(
+                b"".join([pieces[i] for i in self.ids[at : at + PIECES_JOINED].tolist()])
+                for at in range(0, len(self.ids), PIECES_JOINED)
+            ),
+            np.uint8,
+        )
+        self.byte_starts = edges[self.starts]
+        self.byte_lengths = edges[self.starts + self.lengths] - self.byte_starts
 
     def documents(self, keys: list, packed: bytes, key_type: pa.DataType) -> pa.RecordBatch:
         (counts, codes), _ = unpack(packed)
-        lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        first = np.repeat(self.starts[codes] - (ends - lengths), lengths)
-        ids = self.ids[first + np.arange(len(first))]
-        stops = np.cumsum(counts, dtype=np.int64)
-        id_stops = np.concatenate([[0], ends])[stops]
-        numbers, binary, texts = codes.tolist(), [], []
-        start = id_start = 0
-        for stop, id_stop in zip(stops.tolist(), id_stops.tolist()):
-            binary.append(ids[id_start:id_stop].tobytes())
-            raw = b"".join([self.words[number] for number in numbers[start:stop]])
-            texts.append(raw.decode("utf-8", errors="replace"))
-            start, id_start = stop, id_stop
-        columns = [pa.array(keys, key_type), pa.array(binary, pa.binary()), pa.array(texts)]
-        return pa.record_batch(columns, ["_key", "ids", "decoded"])
+        ids, id_ends = _gather(self.ids, self.starts[codes], self.lengths[codes])
+        letters, ends = _gather(self.letters, self.byte_starts[codes], self.byte_lengths[codes])
+        stops = np.append(0, np.cumsum(counts, dtype=np.int64))
+        binary = _cut(ids.view(np.uint8), 4 * id_ends[stops], pa.binary())
+        texts = _cut(letters, ends[stops], pa.string())
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # a sign that ids cut apart
+            raw = texts.cast(pa.binary()).to_pylist()
+            texts = pa.array([text.decode("utf-8", errors="replace") for text in raw], pa.string())
+        return pa.record_batch([pa.array(keys, key_type), binary, texts], ["_key", "ids", "decoded"])
+
+
+def _cut(raw: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An array of the values that lie between the edges, on the same bytes."""
+    offsets = pa.array(edges, pa.int32())
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, offsets.buffers()[1], pa.py_buffer(raw)])
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    """The runs of `values` one after the other, and the places where they end, 0 first."""
+    ends = np.append(0, np.cumsum(lengths))
+    found = np.empty(ends[-1], values.dtype)
+    for at in range(0, len(starts), WORDS_JOINED):
+        part = slice(at, at + WORDS_JOINED)
+        low, high = ends[at], ends[min(at + WORDS_JOINED, len(starts))]
+        places = np.repeat(starts[part] - ends[:-1][part], lengths[part])
+        found[low:high] = values[places + np.arange(low, high)]
+    return found, ends
 
 
 def encode_decode(
@@ -196,7 +229,7 @@ def encode_decode(
     they decode to. A null or empty text has no ids and decodes to ''. Rows with null or
     repeated keys are kept apart, other columns are not read, an empty table gives no rows.
 
-    1. Blocks of documents (about `block_words` distinct words or 2^26 characters at most)
+    1. Blocks of documents (about `block_words` distinct words or 2^25 characters at most)
        are cut into words and their words numbered; written as a table bucketed by block: word
        numbers of documents, and per block and hash bucket the distinct words.
     2. Each bucket encodes its distinct words once. A word comes once from each block, however
@@ -249,5 +282,6 @@ def bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
     spark = blocks.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_root(spark)}/bytegrain/{name}"
-    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    with small_batches(spark):
+        blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name)

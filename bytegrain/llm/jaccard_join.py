@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegrain.llm.arrow import ddl, slices
+from bytegrain.llm.arrow import ddl, slices, trimmed
 from bytegrain.llm.components import connected_components
 from bytegrain.operators.ordering import with_rank
 from bytegrain.session import Stage
@@ -105,7 +105,7 @@ def set_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 yield pa.record_batch(columns, ["_key", "_n", "_node", "_tokens"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(sets, f"_key {ddl(docs, key)}, _n bigint, _node bigint, _tokens binary")
+    return rows.mapInArrow(trimmed(sets), f"_key {ddl(docs, key)}, _n bigint, _node bigint, _tokens binary")
 
 
 def band(n: int, percent: int) -> int:
